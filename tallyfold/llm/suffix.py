@@ -283,12 +283,15 @@ def fetch(batches):
         yield batches_of(out, names, kinds)
 
 
-FOUND = "k1 long, k2 long, lo long, hi long, w1 long, w2 long, known boolean"
+FOUND = "k1 long, k2 long, lo long, hi long, part int, run binary"
+#: A window of a run: its key, whether its shard has it twice, and where it is.
+WINDOWS = np.dtype([("w1", "<u8"), ("w2", "<u8"), ("known", "?"), ("k1", "<i8"), ("k2", "<i8"), ("lo", "<i8")])
 
 
-def sort_shards(batches):
-    """Stretches by h and shard -> duplicate windows lo to hi of texts; of split anchors also, for each class of equal windows, a key to merge by."""
-    names, kinds = ["k1", "k2", "lo", "hi", "w1", "w2", "known"], [I64] * 6 + [pa.bool_()]
+def sort_shards(batches, parts: int):
+    """Stretches by h and shard -> duplicate windows lo to hi of texts; of split anchors also the shard's sorted run of window
+    keys, one for each class of equal windows, cut into `parts` ranges of keys."""
+    names, kinds = ["k1", "k2", "lo", "hi", "part", "run"], [I64] * 4 + [I32, BIN]
     held, size = [], 0
 
     def sorted_out():
@@ -302,16 +305,21 @@ def sort_shards(batches):
         a = i[cut]
         e = i[np.r_[np.flatnonzero(cut)[1:] - 1, len(i) - 1]] if len(i) else i
         cols = [k1[which[a]], k2[which[a]], lo[which[a]] + step[a], lo[which[a]] + step[e]]
-        zero = np.zeros(len(a), np.int64)
-        yield batches_of([*cols, zero, zero, np.ones(len(a), bool)], names, kinds)
+        yield batches_of([*cols, [None] * len(a), [None] * len(a)], names, kinds)
         if split.any():
             s = np.flatnonzero(split[which])
             s = s[np.unique(kind[s], return_index=True)[1]]  # one of each class
             buf = np.frombuffer(b"".join(r[6] for r in held), np.uint8)
             at = (np.cumsum([0, *(len(r[6]) for r in held)])[:-1])[which[s]] + step[s]
-            w = [strings(sums(buf, x), at, at + WINDOW).view(np.int64) for x in (0, 1)]
-            keyed = [k1[which[s]], k2[which[s]], lo[which[s]] + step[s], lo[which[s]] + step[s], *w, twice[s]]
-            yield batches_of([*keyed[:2], keyed[2], np.full(len(s), -1), *w, twice[s]], names, kinds)
+            run = np.empty(len(s), WINDOWS)
+            run["w1"], run["w2"] = (strings(sums(buf, x), at, at + WINDOW) for x in (0, 1))
+            run["known"], run["k1"], run["k2"], run["lo"] = twice[s], k1[which[s]], k2[which[s]], lo[which[s]] + step[s]
+            run = run[np.argsort(run["w1"], kind="stable")]
+            part = ((run["w1"] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+            ends = np.searchsorted(part, np.arange(parts + 1))
+            some = np.flatnonzero(ends[1:] > ends[:-1])
+            none = [None] * len(some)
+            yield batches_of([none, none, none, none, some, [run[ends[i] : ends[i + 1]].tobytes() for i in some]], names, kinds)
 
     for b in batches:
         for row in zip(*(b.column(i).to_pylist() for i in range(7))):
@@ -325,29 +333,28 @@ def sort_shards(batches):
 
 
 def merge_shards(batches):
-    """Keys of windows from all shards of split anchors, sorted by w1 -> windows that another shard has too, found by binary search."""
-    held = None
-
-    def met(k1, k2, lo, w1, w2, known):
-        key = np.array(list(zip(w1, w2)), [("a", "i8"), ("b", "i8")])
-        run = np.sort(key, order=("a", "b"))
-        copies = np.searchsorted(run, key, "right") - np.searchsorted(run, key, "left")
-        i = np.flatnonzero((copies > 1) & ~known)
-        return batches_of([k1[i], k2[i], lo[i], lo[i]], ["k1", "k2", "lo", "hi"], [I64] * 4)
-
+    """Runs sorted by part -> windows of shards that another shard has too, found by binary search in the merged run of a range."""
+
+    def met(runs):
+        run = np.concatenate(runs)
+        order = np.lexsort((run["w2"], run["w1"]))
+        w1, w2 = run["w1"][order], run["w2"][order]
+        first = np.flatnonzero(np.r_[True, (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])])
+        copies = np.empty(len(run), np.int64)
+        copies[order] = np.diff(np.r_[first, len(run)])[np.searchsorted(first, np.arange(len(run)), "right") - 1]
+        i = np.flatnonzero((copies > 1) & ~run["known"])
+        return batches_of([run["k1"][i], run["k2"][i], run["lo"][i], run["lo"][i]], ["k1", "k2", "lo", "hi"], [I64] * 4)
+
+    held, of = [], None
     for b in batches:
-        if not b.num_rows:
-            continue
-        rows = [b.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
-        if held is not None:
-            rows = [np.concatenate(x) for x in zip(held, rows)]
-        w1 = rows[3]
-        last = int(np.flatnonzero(np.r_[True, w1[1:] != w1[:-1]])[-1])
-        if last:
-            yield met(*[x[:last] for x in rows])
-        held = [x[last:] for x in rows]
-    if held is not None:
-        yield met(*held)
+        for part, run in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            if held and part != of:
+                yield met(held)
+                held = []
+            of = part
+            held.append(np.frombuffer(run, WINDOWS))
+    if held:
+        yield met(held)
 
 
 RESULT = "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
@@ -401,10 +408,11 @@ def remove_repeats(docs: DataFrame, with_bytes: bool = False) -> DataFrame:
     marks = stored(marks, "marks")
     wanted = marks.where("not settled").groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi", "h", "shard", "split")).alias("wanted"))
     asked = texts.join(wanted, ["k1", "k2"]).select("k1", "k2", "text", "wanted").mapInArrow(fetch, "h long, shard int, split boolean, k1 long, k2 long, lo long, data binary")
-    shards = asked.repartition(n, "h", "shard").sortWithinPartitions("h", "shard").mapInArrow(sort_shards, FOUND)
+    parts = max(256, n)
+    shards = asked.repartition(n, "h", "shard").sortWithinPartitions("h", "shard").mapInArrow(lambda b: sort_shards(b, parts), FOUND)
     shards = stored(shards, "shards")
-    again = shards.where("hi < 0").select("k1", "k2", "lo", "w1", "w2", "known").repartition(n, "w1").sortWithinPartitions("w1").mapInArrow(merge_shards, "k1 long, k2 long, lo long, hi long")
-    spans = marks.where("settled").select("k1", "k2", "lo", "hi").unionByName(shards.where("hi >= 0").select("k1", "k2", "lo", "hi")).unionByName(again)
+    again = shards.where("run is not null").select("part", "run").repartition(n, "part").sortWithinPartitions("part").mapInArrow(merge_shards, "k1 long, k2 long, lo long, hi long")
+    spans = marks.where("settled").select("k1", "k2", "lo", "hi").unionByName(shards.where("run is null").select("k1", "k2", "lo", "hi")).unionByName(again)
     spans = spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     done = texts.join(spans, ["k1", "k2"], "left").select("k1", "k2", "text", "copies", "spans").mapInArrow(cut_out(with_bytes), RESULT)
     done = stored(done, "cut")
