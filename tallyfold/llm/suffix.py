@@ -98,6 +98,7 @@ def anchors(buf: np.ndarray, ends: np.ndarray, window: int = WINDOW, gram: int =
 #: Stretches of one anchor in a shard; rows of one anchor held at once; bytes that are sorted at once.
 SHARD, HELD, SORTED = 512, 100_000, 1 << 20
 APART = 0xFF  # in no UTF-8 text
+PLAIN, MANY, DONE = 0, 1, 2
 
 
 def suffix_order(buf: np.ndarray) -> np.ndarray:
@@ -195,8 +196,9 @@ MARKED = "k1 long, k2 long, lo long, hi long, h long, shard int, split boolean,
 
 
 def find_anchors(batches):
-    """k1, k2, text -> h, c, k1, k2, at (first window, and their number less one in the last byte)."""
-    names, kinds = ["h", "c", "k1", "k2", "at"], [I64] * 5
+    """k1, k2, text -> h, c, k1, k2, at (first window, and their number less one in the last byte) and state. Stretches that
+    occur twice in a piece of a batch are settled there (DONE, dealt out by any hash); one of them goes on for the others (MANY)."""
+    names, kinds = ["h", "c", "k1", "k2", "at", "state"], [I64] * 5 + [I8]
     for b in batches:
         k1, k2 = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
         texts = [t.encode() for t in b.column(2).to_pylist()]
@@ -213,17 +215,29 @@ def find_anchors(batches):
                 ends = np.array([len(buf)]) if j == i + 1 else np.cumsum([len(t) for t in texts[i:j]])
                 doc, h, c, lo, hi = anchors(buf, ends)
                 base = (np.cumsum([0, *(len(t) for t in texts[i : j - 1])]))[doc] - off
-                yield batches_of([h.view(np.int64), c.view(np.int64), k1[i + doc], k2[i + doc], ((lo - base) << 8) | (hi - lo)], names, kinds)
+                at = ((lo - base) << 8) | (hi - lo)
+                order = np.lexsort((c, h))
+                new = np.r_[True, (h[order][1:] != h[order][:-1]) | (c[order][1:] != c[order][:-1])][: len(h)]
+                size = np.diff(np.r_[np.flatnonzero(new), len(h)])
+                state = np.zeros(len(h), np.int8)
+                state[order] = np.where(np.repeat(size, size) > 1, np.where(new, MANY, DONE), PLAIN)
+                h = np.where(state == DONE, mixed(h ^ at.astype(np.uint64) ^ k1[i + doc].view(np.uint64)), h)
+                yield batches_of([h.view(np.int64), c.view(np.int64), k1[i + doc], k2[i + doc], at, state], names, kinds)
             i = j
 
 
 def judge(rows: list[np.ndarray], base: int, forced: bool):
     """rows: whole anchors, or with forced a part of one, whose shards are numbered from base. A MARK batch and the number of shards."""
-    h, c, k1, k2, at = rows
+    done = rows[5] == DONE
+    settled_before = [x[done] for x in rows]
+    h, c, k1, k2, at, state = (x[~done] for x in rows)
+    if not len(h):
+        return marked(settled_before, np.zeros(0, np.int32), np.zeros(0, bool), [h, c, k1, k2, at]), 0
     gram = np.r_[True, h[1:] != h[:-1]]
     first = np.flatnonzero(gram | np.r_[True, c[1:] != c[:-1]])  # of each kind of stretch
     size = np.diff(np.r_[first, len(h)])
-    settled = np.flatnonzero(np.repeat(size, size) > 1)
+    many = np.maximum.reduceat(state, first) == MANY
+    settled = np.flatnonzero(np.repeat((size > 1) | many, size))
     group = (np.cumsum(gram) - 1)[first]
     kinds = np.bincount(group)
     nth = np.arange(len(first)) - (np.cumsum(kinds) - kinds)[group]
@@ -231,11 +245,17 @@ def judge(rows: list[np.ndarray], base: int, forced: bool):
     ask = first[seen]
     shard = base + nth[seen] // SHARD
     split = (kinds[group][seen] > SHARD) | forced
-    lo, hi = at >> 8, (at >> 8) + (at & 255)
-    out = [np.concatenate([x[settled], x[ask]]) for x in (k1, k2, lo, hi, h)]
-    for a, b in ((np.zeros(len(settled), np.int32), shard.astype(np.int32)), (np.zeros(len(settled), bool), split), (np.ones(len(settled), bool), np.zeros(len(ask), bool))):
-        out.append(np.concatenate([a, b]))
-    return batches_of(out, MARK, [I64] * 5 + [I32, pa.bool_(), pa.bool_()]), int(nth[-1]) // SHARD + 1
+    yes = [np.concatenate([x[settled], y]) for x, y in zip((h, c, k1, k2, at), settled_before)]
+    return marked(yes, shard, split, [x[ask] for x in (h, c, k1, k2, at)]), int(nth[-1]) // SHARD + 1
+
+
+def marked(settled: list[np.ndarray], shard: np.ndarray, split: np.ndarray, ask: list[np.ndarray]):
+    """A MARK batch of settled stretches and of those that a shard must see."""
+    n, m = len(settled[0]), len(ask[0])
+    h, _, k1, k2, at = (np.concatenate([a, b]) for a, b in zip(settled[:5], ask[:5]))
+    shards, splits = np.zeros(n + m, np.int32), np.zeros(n + m, bool)
+    shards[n:], splits[n:] = shard, split
+    return batches_of([k1, k2, at >> 8, (at >> 8) + (at & 255), h, shards, splits, np.arange(n + m) < n], MARK, [I64] * 5 + [I32, pa.bool_(), pa.bool_()])
 
 
 def classify(batches):
@@ -245,7 +265,7 @@ def classify(batches):
     for b in batches:
         if not b.num_rows:
             continue
-        rows = [b.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+        rows = [b.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
         if held is not None:
             rows = [np.concatenate(x) for x in zip(held, rows)]
         h = rows[0]
@@ -403,7 +423,7 @@ def remove_repeats(docs: DataFrame, with_bytes: bool = False) -> DataFrame:
     )
     freed(spark)
     texts = spark.table(name)
-    found = texts.where(F.octet_length("text") >= WINDOW).select("k1", "k2", "text").mapInArrow(find_anchors, "h long, c long, k1 long, k2 long, at long")
+    found = texts.where(F.octet_length("text") >= WINDOW).select("k1", "k2", "text").mapInArrow(find_anchors, "h long, c long, k1 long, k2 long, at long, state byte")
     marks = found.repartition(n, "h").sortWithinPartitions("h", "c").mapInArrow(classify, MARKED)
     marks = stored(marks, "marks")
     wanted = marks.where("not settled").groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi", "h", "shard", "split")).alias("wanted"))
