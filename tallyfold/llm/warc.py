@@ -4,7 +4,7 @@ Writing: one response record for each row, its HTTP block in chunked transfer fr
 cut into a first record (WARC-Segment-Number 1) and continuation records that name it in WARC-Segment-Origin-ID, the last
 with WARC-Segment-Total-Length. A row whose payload equals that of a row with a smaller page_id becomes a revisit record,
 whose HTTP header still states Content-Length. Archives are written by Spark's text sink, which ends each record's bytes
-with the CRLF that a record ends with, so they may lie in any store that Spark reaches.
+with the CRLF that a record ends with and compresses each archive, so they may lie in any store that Spark reaches.
 
 Reading: records are cut out by Content-Length; those in one piece are decoded at once; pieces are shuffled by origin
 identifier and segment number, ordered, checked against the total length and decoded. A broken archive raises.
@@ -17,6 +17,7 @@ table gives no archive and an empty result; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 
@@ -110,7 +111,7 @@ def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 0, segm
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
     # bytes stay as they are in the cast; the sink writes CRLF after each
-    p.mapInArrow(build, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\r\n").text(path)
+    p.mapInArrow(build, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\r\n").option("compression", "gzip").text(path)
 
 
 def cut(data: bytes):
@@ -137,13 +138,14 @@ def page_of(name: str) -> int | None:
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """page_id, payload (null for revisits) and what the records state of it, for every record of the archives."""
     whole = f"{RESULT}, payload binary"
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{txt,gz,warc}").load(path).select("content")
 
     def scan(batches):
         for b in batches:
             for data in b.column(0):
                 done, pieces, held = [], [], 0
-                for f, block in cut(data.as_buffer().to_pybytes()):
+                data = data.as_buffer().to_pybytes()
+                for f, block in cut(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
                     if "warc-segment-number" in f:
                         origin = f.get("warc-segment-origin-id", f["warc-record-id"])
                         total = int(f["warc-segment-total-length"]) if "warc-segment-total-length" in f else None
@@ -171,7 +173,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
     # both kinds of record come from one scan, which is written so that it is not repeated for each
     at = new_path(spark, "scan")
-    files.mapInArrow(scan, f"whole struct<{whole.replace(' ', ':').replace(',:', ',')}>, piece struct<{PIECE.replace(' ', ':').replace(',:', ',')}>").write.parquet(at)
+    files.mapInArrow(scan, f"whole struct<{whole.replace(' ', ':').replace(',:', ',')}>, piece struct<{PIECE.replace(' ', ':').replace(',:', ',')}>").write.option("compression", "zstd").parquet(at)
     both = spark.read.parquet(at)
     done = both.where("whole is not null").select("whole.*")
     # repeated rows repeat each segment: one of each is kept and the number of first ones counted
