@@ -95,7 +95,8 @@ def lexicon_tokens(text: Column) -> Column:
 
 def lexicon_score(tokens: Column, positive: list[str], negative: list[str]) -> Column:
     """Struct of n_words, n_positive, n_negative and score = (positive - negative) / words, 0 without words."""
-    pos, neg = (F.size(F.filter(tokens, lambda t, w=w: t.isin(*w))) for w in (positive, negative))
+    pos = F.size(F.filter(tokens, lambda t: t.isin(*positive)))
+    neg = F.size(F.filter(tokens, lambda t: t.isin(*negative)))
     n = F.size(tokens)
     return F.struct(n.alias("n_words"), pos.alias("n_positive"), neg.alias("n_negative"), F.when(n > 0, (pos - neg) / n).otherwise(0.0).alias("score"))
 
