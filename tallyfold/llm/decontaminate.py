@@ -83,11 +83,13 @@ def automaton(items: list[tuple[int, str]], rate: float):
 
 def search(text: str | None, items: list[tuple[int, str]], rate: float = RATE) -> list[dict]:
     """item_id, distance and where the match ends in the normalised text, for each item within its budget of the text."""
+    return scan(text, items, rate, automaton(items, rate)) if items else []
+
+
+def scan(text: str | None, items: list[tuple[int, str]], rate: float, pieces_of) -> list[dict]:
     text = plain(text)
-    if not items:
-        return []
     spans: dict[int, list] = {}
-    for last, (n, places) in automaton(items, rate).iter(text):
+    for last, (n, places) in pieces_of.iter(text):
         for number, start in places:
             item = items[number][1]
             k = budget(len(item), rate)
@@ -102,7 +104,7 @@ def search(text: str | None, items: list[tuple[int, str]], rate: float = RATE) -
     for number, regions in sorted(spans.items()):
         item_id, item = items[number]
         best, end = len(item) + 1, 0
-        for lo, hi in regions:
+        for lo, hi in merged(regions):
             at = text.find(item, lo, hi)
             d, e = (0, at + len(item)) if at >= 0 else myers(item, text[lo:hi]) if len(item) >= MIN_CHARS else (len(item) + 1, 0)
             if d < best:
@@ -114,6 +116,17 @@ def search(text: str | None, items: list[tuple[int, str]], rate: float = RATE) -
     return out
 
 
+def merged(regions: list[list[int]]) -> list[list[int]]:
+    """Regions in order, those that meet as one."""
+    out: list[list[int]] = []
+    for lo, hi in sorted(regions):
+        if out and lo <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], hi)
+        else:
+            out.append([lo, hi])
+    return out
+
+
 def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> list[list[tuple[int, str]]]:
     """The items in blocks of at most BLOCK_BYTES, or one item; each is collected by itself."""
     b = benchmark.select(benchmark[id_col].cast("long").alias("item_id"), benchmark[text_col].cast("string").alias("text"))
@@ -133,7 +146,10 @@ def hits(text: Column, block: list[tuple[int, str]], rate: float = RATE) -> Colu
 
     @F.pandas_udf("array<struct<item_id:long,distance:int,ends:int>>")
     def find(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: search(t, block, rate))
+        if not block:
+            return texts.map(lambda t: [])
+        built = automaton(block, rate)
+        return texts.map(lambda t: scan(t, block, rate, built))
 
     return find(text)
 
