@@ -5,32 +5,71 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Name, pattern and placeholder of each redaction step; the order is part of the meaning.
+#: The vocabularies of SURVEY I2, in the order in which they are tried.
+EXCHANGES = (
+    "New York Stock Exchange", "NYSE American", "NYSE Arca", "NYSE", "NASDAQ Global Select Market", "NASDAQ Global Market", "NASDAQ Capital Market", "The NASDAQ Stock Market", "NASDAQ", "Nasdaq", "Chicago Board Options Exchange", "Cboe", "BATS", "OTC Markets", "Toronto Stock Exchange",
+)
+AUDITORS = (
+    "PricewaterhouseCoopers", "PwC", "Deloitte & Touche", "Deloitte", "Ernst & Young", "EY LLP", "KPMG", "Grant Thornton", "BDO USA", "BDO Seidman", "RSM US", "Crowe LLP", "Moss Adams", "Marcum LLP", "Computershare", "American Stock Transfer", "Equiniti", "Broadridge", "Continental Stock Transfer", "Wells Fargo Shareowner Services", "EQ Shareowner",
+)
+#: "West Virginia" is absent as in effect in the reference: Virginia goes first there, and "West" stays.
+STATES = (
+    "Alabama", "Alaska", "Arizona", "Arkansas", "California", "Colorado", "Connecticut", "Delaware", "Florida", "Georgia", "Hawaii", "Idaho", "Illinois", "Indiana", "Iowa", "Kansas", "Kentucky", "Louisiana", "Maine", "Maryland", "Massachusetts", "Michigan", "Minnesota", "Mississippi", "Missouri", "Montana", "Nebraska", "Nevada", "New Hampshire", "New Jersey", "New Mexico", "New York", "North Carolina", "North Dakota", "Ohio", "Oklahoma", "Oregon", "Pennsylvania", "Rhode Island", "South Carolina", "South Dakota", "Tennessee", "Texas", "Utah", "Vermont", "Virginia", "Washington", "Wisconsin", "Wyoming",
+)
+STATE_CODES = "AL|AK|AZ|AR|CA|CO|CT|DE|FL|GA|HI|ID|IL|IN|IA|KS|KY|LA|ME|MD|MA|MI|MN|MS|MO|MT|NE|NV|NH|NJ|NM|NY|NC|ND|OH|OK|OR|PA|RI|SC|SD|TN|TX|UT|VT|VA|WA|WV|WI|WY|DC"
+MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sep|Sept|Oct|Nov|Dec"
+STREETS = "Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Drive|Dr|Lane|Ln|Way|Plaza|Parkway|Pkwy|Court|Ct|Circle|Cir|Square|Sq|Center|Centre|Highway|Hwy|Terrace|Place|Pl"
+TITLES = (
+    r"Chief\s+\w+\s+Officer|President|Chairman|Chairwoman|Chairperson|Chair|Vice\s+President|Executive\s+Vice\s+President|Senior\s+Vice\s+President|Chief\s+Executive|"
+    r"Chief\s+Financial|Chief\s+Operating|CEO|CFO|COO|CTO|Treasurer|Secretary|General\s+Counsel|Controller|Director|Trustee"
+)
+PERSON_NAME = r"[A-Z][a-z]+(?:\s+[A-Z]\.?)?(?:\s+[A-Z][a-z'\-]+){1,2}"
+
+
+def phrases(words: tuple[str, ...]) -> str:
+    return r"\b(?:" + "|".join(words) + r")\b"
+
+
+#: Name, pattern and replacement of each redaction step; the order is part of the meaning.
 REDACTIONS = (
-    ("url", r"(?i)\b(?:https?://|www\.)\S+", "[URL]"),
-    ("email", r"(?i)\b[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}\b", "[EMAIL]"),
-    ("filename", r"(?i)\b[\w-]+\.(?:htm|html|txt|pdf|xml|jpg|gif)\b", "[FILE]"),
-    ("cik_label", r"(?i)\b(?:central index key|cik)\b[\s:#.]*(?:no\.?|number)?[\s:#]*\d{4,10}\b", "[CIK]"),
-    ("file_number", r"(?i)\b(?:0{0,2}\d{1,3}-\d{5,6})(?:-\d{2})?\b", "[FILENO]"),
-    ("irs", r"\b\d{2}-\d{7}\b", "[IRS]"),
-    ("street", r"(?i)\b\d{1,5}\s+(?:[A-Z][\w.]*\s+){1,4}(?:street|st|avenue|ave|road|rd|boulevard|blvd|drive|dr|lane|ln|parkway|pkwy|plaza|way|court|ct)\b\.?", "[ADDRESS]"),
-    ("phone", r"(?:\+?1[\s.-]?)?\(?\b\d{3}\)?[\s.-]\d{3}[\s.-]\d{4}\b", "[PHONE]"),
+    ("url", r"(?i)\b(?:https?://|www\.)[^\s<>\"]+", "[ID]"),
+    ("email", r"\b[\w.+-]+@[\w-]+\.[\w.]+\b", "[ID]"),
+    ("filename", r"(?i)\b[\w][\w.\-]{2,}\.(?:htm|html|txt|pdf|jpe?g|png|gif|xlsx?|zip)\b", "[ID]"),
+    ("cik_label", r"(?i)\b(?:CIK|Central Index Key)[\s:#]*0*\d{4,10}\b", "[ID]"),
+    ("file_number", r"(?i)\b(?:Commission File(?:\s+Number)?|File No\.?|IRS Employer)[\s:#]*[\w\-]+", "[ID]"),
+    ("irs", r"\b\d{2}-\d{7}\b", "[ID]"),
+    ("street", rf"(?i)\b(?:\d{{1,6}}|One|Two|Three|Four|Five|Six|Seven|Eight|Nine|Ten)\s+(?:[A-Z][\w.'-]+\s+){{0,4}}(?:{STREETS})\b\.?", "[ADDRESS]"),
+    ("phone", r"\(?\b\d{3}\)?[\s.-]\d{3}[\s.-]\d{4}\b", "[PHONE]"),
 )
 LATE_REDACTIONS = (
-    ("signature", r"(?m)/s/\s*[A-Z][\w.\x20-]{2,40}", "[PERSON]"),
-    ("honorific", r"\b(?:Mr|Mrs|Ms|Dr|Messrs)\.?\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)?", "[PERSON]"),
-    ("exchange", r"(?i)\b(?:new york stock exchange|nasdaq(?: stock market| global select market)?|nyse(?: american| arca)?)\b", "[EXCHANGE]"),
-    ("quarter", r"(?i)\b(?:first|second|third|fourth)\s+(?:fiscal\s+)?quarter(?:\s+of)?(?:\s+(?:fiscal\s+)?(?:19|20)\d{2})?", "[QUARTER]"),
-    ("fiscal", r"(?i)\bfiscal(?:\s+year)?\s+(?:19|20)\d{2}\b", "[FISCAL]"),
-    ("long_date", r"(?i)\b(?:january|february|march|april|may|june|july|august|september|october|november|december)\s+\d{1,2},?\s+(?:19|20)\d{2}\b", "[DATE]"),
-    ("dmy_date", r"(?i)\b\d{1,2}\s+(?:january|february|march|april|may|june|july|august|september|october|november|december)\s+(?:19|20)\d{2}\b", "[DATE]"),
-    ("month_year", r"(?i)\b(?:january|february|march|april|may|june|july|august|september|october|november|december)\s+(?:19|20)\d{2}\b", "[DATE]"),
-    ("numeric_date", r"\b\d{1,2}/\d{1,2}/(?:\d{4}|\d{2})\b", "[DATE]"),
-    ("iso_date", r"\b(?:19|20)\d{2}-\d{2}-\d{2}\b", "[DATE]"),
-    ("zip", r"\b\d{5}-\d{4}\b", "[ZIP]"),
-    ("year", r"\b(?:19|20)\d{2}\b", "[YEAR]"),
+    ("signature", r"/s/\s*[A-Z][\w.'-]*(?:\s+[A-Z][\w.'-]*){0,3}", "/s/ [PERSON]"),
+    ("honorific", r"\b(?:Mr|Mrs|Ms|Miss|Dr|Prof)\.?\s+[A-Z][\w.'-]*(?:\s+[A-Z][\w.'-]*){0,2}", "[PERSON]"),
+    ("name_then_title", rf"\b{PERSON_NAME}\s*,\s*(?:our\s+|the\s+)?(?:{TITLES})\b", "[PERSON], [TITLE]"),
+    ("title_then_name", rf"\b(?:{TITLES})\s*,?\s+{PERSON_NAME}\b", "[TITLE] [PERSON]"),
+    ("exchange", phrases(EXCHANGES), "[EXCHANGE]"),
+    ("auditor", "(?i)" + phrases(AUDITORS), "[AUDITOR]"),
+    ("state", phrases(STATES), "[STATE]"),
+    ("dc", r"\bD\.?\s?C\.?(?=[\s,.]|$)", "[STATE]"),
+    ("city_state", rf"\b[A-Z][\w.'-]+(?:\s+[A-Z][\w.'-]+){{0,2}},\s*(?:\[STATE\]|(?:{STATE_CODES})\b\.?)", "[ADDRESS], [STATE]"),
+    ("quarter", r"(?i)\b(?:Q[1-4]|first|second|third|fourth)\s+quarter\s+(?:of\s+)?\d{4}\b", "the relevant quarter"),
+    ("fiscal", r"(?i)\b(?:fiscal|calendar)\s+(?:year\s+)?\d{4}\b", "the relevant fiscal year"),
+    ("long_date", rf"(?i)\b(?:{MONTHS})\.?\s+\d{{1,2}}(?:st|nd|rd|th)?,?\s+\d{{4}}\b", "[DATE]"),
+    ("dmy_date", rf"(?i)\b\d{{1,2}}\s+(?:{MONTHS})\.?,?\s+\d{{4}}\b", "[DATE]"),
+    ("month_year", rf"(?i)\b(?:{MONTHS})\.?\s+\d{{4}}\b", "[PERIOD]"),
+    ("numeric_date", r"\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b", "[DATE]"),
+    ("iso_date", r"\b\d{4}-\d{2}-\d{2}\b", "[DATE]"),
+    ("zip", r"\b\d{5}(?:-\d{4})?\b", "[ID]"),
+    ("year", r"\b(?:19[5-9]\d|20[0-4]\d)\b", "[PERIOD]"),
+)
+RUN = r"(\[(?:COMPANY|PERSON|DATE|ADDRESS|ID)\])[\s,]*(?:\[(?:COMPANY|PERSON|DATE|ADDRESS|ID)\][\s,]*)+"
+#: The label of each leak scan and the step whose pattern it takes.
+SCANS = (("date", "long_date"), ("date", "dmy_date"), ("date", "numeric_date"), ("date", "iso_date"), ("year", "year"), ("email", "email"), ("url", "url"), ("city_state", "city_state"), ("filename", "filename"), ("street", "street"))
+NAME_SUFFIXES = (
+    "inc", "incorporated", "corp", "corporation", "co", "company", "companies", "ltd", "limited", "plc", "lp", "llp", "llc", "holding", "holdings", "group", "the", "and", "of", "trust", "partners", "partnership", "sa", "nv", "ag", "class", "com", "new", "international", "industries", "enterprises",
+)
+TOO_GENERIC = (
+    "general", "american", "national", "united", "first", "global", "pacific", "atlantic", "standard", "universal", "central", "southern", "northern", "eastern", "western", "public", "service", "services", "systems", "technologies", "technology", "products", "resources", "energy", "financial", "capital", "bank", "health", "medical", "stores", "motors", "electric", "air", "states", "state", "materials", "scientific", "communications", "management", "properties", "realty",
 )
-RUN = r"(\[[A-Z]+\])(?:\s*\[[A-Z]+\])+\s*"
 SUFFIXES = ("inc", "incorporated", "corp", "corporation", "co", "company", "ltd", "limited", "llc", "lp", "plc", "holdings", "group", "trust", "the")
 NOT_TICKERS = ("NYSE", "NASDAQ", "AMEX", "OTC", "NONE", "N/A", "NA", "NULL")
 
@@ -38,8 +77,8 @@ NOT_TICKERS = ("NYSE", "NASDAQ", "AMEX", "OTC", "NONE", "N/A", "NA", "NULL")
 def name_variants(name: Column) -> Column:
     """The cleaned name, without company suffixes, its leading two words, and its first word if that has four letters; longest first."""
     clean = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(name, F.lit("")), r"[^\p{L}\p{N}&\s-]", " "), r"\s+", " "))
-    words = F.filter(F.split(clean, " "), lambda w: (w != "") & ~F.lower(w).isin(*SUFFIXES))
-    head = F.when((F.size(words) > 0) & (F.length(F.get(words, F.lit(0))) >= 4), F.get(words, F.lit(0)))
+    words = F.filter(F.split(clean, " "), lambda w: (w != "") & ~F.lower(w).isin(*NAME_SUFFIXES))
+    head = F.when((F.size(words) > 0) & (F.length(F.get(words, F.lit(0))) >= 4) & ~F.lower(F.get(words, F.lit(0))).isin(*TOO_GENERIC), F.get(words, F.lit(0)))
     bigram = F.when(F.size(words) >= 2, F.array_join(F.slice(words, 1, 2), " "))
     all_ = F.array_distinct(F.array_compact(F.array(clean, F.array_join(words, " "), bigram, head)))
     return F.array_sort(F.filter(all_, lambda v: F.length(v) >= 3), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
@@ -50,19 +89,21 @@ def replaced_names(text: Column, variants: Column, placeholder: str = "[COMPANY]
     return F.aggregate(variants, text, lambda t, v: F.regexp_replace(t, F.concat(F.lit(r"(?iU)\b\Q"), v, F.lit(r"\E\b")), F.lit(placeholder)))
 
 
-def redact(text: Column, variants: Column | None = None, ticker: Column | None = None) -> Column:
+def redact(text: Column, variants: Column | None = None, ticker: Column | None = None, cik: Column | None = None) -> Column:
     out = F.coalesce(text, F.lit(""))
     for _, pattern, placeholder in REDACTIONS:
         out = F.regexp_replace(out, "(?U)" + pattern, placeholder)
     if variants is not None:
         out = replaced_names(out, variants)
     if ticker is not None:
-        out = F.when(F.length(ticker) >= 1, F.regexp_replace(out, F.concat(F.lit(r"\b(?:NYSE|NASDAQ)?:?\s?\Q"), ticker, F.lit(r"\E\b")), F.lit("[TICKER]"))).otherwise(out)
+        named = F.regexp_replace(out, F.concat(F.lit(r"(?U)\b(?:NYSE|NASDAQ|Nasdaq|AMEX)\s*:\s*\Q"), ticker, F.lit(r"\E\b")), F.lit("[TICKER]"))
+        out = F.when(F.length(ticker) >= 1, F.regexp_replace(named, F.concat(F.lit(r"(?U)\b\Q"), ticker, F.lit(r"\E\b")), F.lit("[TICKER]"))).otherwise(out)
+    if cik is not None:
+        out = F.coalesce(F.regexp_replace(out, F.concat(F.lit(r"(?U)\b0*"), cik.cast("string"), F.lit(r"\b")), F.lit("[ID]")), out)
     for _, pattern, placeholder in LATE_REDACTIONS:
         out = F.regexp_replace(out, "(?U)" + pattern, placeholder)
     out = F.regexp_replace(out, RUN, "$1 ")
-    out = F.regexp_replace(F.regexp_replace(out, r"[ \t]+", " "), r"\n{3,}", "\n\n")
-    return F.trim(out)
+    return F.regexp_replace(F.regexp_replace(out, r"[ \t]{2,}", " "), r"(?U)^\s+|\s+\z", "")
 
 
 def redaction_counts(text: Column) -> Column:
@@ -80,6 +121,21 @@ def leaks(text: Column, variants: Column | None = None) -> Column:
     return F.array_sort(F.array_distinct(out))
 
 
+def find_leaks(text: Column, variants: Column | None = None, ticker: Column | None = None, cik: Column | None = None) -> Column:
+    """SURVEY I5: sorted distinct labels 'kind:first match' of every scan of the reference over redacted text."""
+    patterns = {n: "(?U)" + p for n, p, _ in (*REDACTIONS, *LATE_REDACTIONS)}
+    found = [F.when(F.regexp_like(text, F.lit(patterns[n])), F.concat(F.lit(f"{k}:"), F.substring(F.regexp_extract(text, patterns[n], 0), 1, 40))) for k, n in SCANS]
+    if ticker is not None:
+        found.append(F.when((F.length(ticker) >= 1) & F.regexp_like(text, F.concat(F.lit(r"(?U)\b\Q"), ticker, F.lit(r"\E\b"))), F.concat(F.lit("ticker:"), ticker)))
+    if cik is not None:
+        found.append(F.when(F.regexp_like(text, F.concat(F.lit(r"(?U)\b0*"), cik.cast("string"), F.lit(r"\b"))), F.concat(F.lit("cik:"), cik.cast("string"))))
+    out = F.array_compact(F.array(*found))
+    if variants is not None:
+        met = F.filter(variants, lambda v: F.regexp_like(text, F.concat(F.lit(r"(?iU)\b\Q"), v, F.lit(r"\E\b"))))
+        out = F.concat(out, F.transform(met, lambda v: F.concat(F.lit("company_name:"), v)))
+    return F.array_sort(F.array_distinct(out))
+
+
 def scoring_text(text: Column, most: int = 12_000) -> Column:
     """The first `most` characters, cut at the last blank if that lies in the last tenth."""
     head = F.substring(text, 1, most)

@@ -352,12 +352,12 @@ def lexicon_scores(t):
 @query()
 def redacted_documents(t):
     d = t.raw("documents").select("doc_id", text.redact(F.col("text")).alias("redacted"), text.redaction_counts(F.col("text")).alias("c"))
-    return d.select("doc_id", F.length("redacted").alias("n_chars"), "c.*", F.array_join(text.leaks(F.col("redacted")), "|").alias("leaks"))
+    return d.select("doc_id", F.length("redacted").alias("n_chars"), "c.*", F.array_join(text.find_leaks(F.col("redacted")), "|").alias("leaks"))
 
 
 @query("SELECT doc_id, len(regexp_extract_all(text, '\\b\\d{2}-\\d{7}\\b')) AS irs, len(regexp_extract_all(text, '\\b(?:19|20)\\d{2}-\\d{2}-\\d{2}\\b')) AS iso_date FROM documents")
 def redaction_tallies(t):
-    return t.raw("documents").select("doc_id", text.redaction_counts(F.col("text")).alias("c")).select("doc_id", F.col("c.irs").cast("long").alias("irs"), F.col("c.iso_date").cast("long").alias("iso_date"))
+    return t.raw("documents").select("doc_id", "text", text.redaction_counts(F.col("text")).alias("c")).select("doc_id", F.col("c.irs").cast("long").alias("irs"), F.regexp_count("text", F.lit(r"(?U)\b(?:19|20)\d{2}-\d{2}-\d{2}\b")).cast("long").alias("iso_date"))
 
 
 _HTML = "html"
