@@ -6,7 +6,9 @@ several sections, or partly in none, is allocated by `rule`: "first" gives it to
 the section with most of its bytes (the earlier of equals), "share" a fraction to each in proportion to its bytes.
 
 Sections are by default the lines of the text, each with its line end; others come as an array column of (start, end) in
-code points. Defined cases: null text is empty and has no tokens and one empty section; a token outside every section
+code points. A run of white space over LONG characters is cut out before the pattern sees it: all of the run but its last
+character is one pre-token of the pattern whatever stands around it, so the tokens are the same and the matcher, which steps
+back through such runs, never meets a long one. Defined cases: null text is empty and has no tokens and one empty section; a token outside every section
 counts for the document only; doc_id may be null or repeated; an empty table gives an empty result; other columns are
 ignored.
 """
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from pathlib import Path
 
 import numpy as np
@@ -25,6 +28,9 @@ from pyspark.sql import DataFrame
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how texts are cut before merging, as this vocabulary was made.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: White space as the encoder's pattern has it, in runs that the pattern does not get to see.
+LONG = 10_000
+RUN = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{%d,}" % LONG)
 RULES = ("first", "most", "share")
 _built: dict = {}
 
@@ -40,6 +46,17 @@ def encoding(data: bytes) -> tuple[tiktoken.Encoding, np.ndarray]:
     return _built[key]
 
 
+def encoded(enc: tiktoken.Encoding, text: str) -> np.ndarray:
+    """The tokens of a whole text. Before a long run of white space and before its last character the pattern always cuts."""
+    parts, at = [], 0
+    for run in RUN.finditer(text):
+        last = run.end() if run.end() == len(text) else run.end() - 1
+        parts += [enc.encode_to_numpy(text[at : run.start()], disallowed_special=()), np.asarray(enc._encode_single_piece(text[run.start() : last]))]
+        at = last
+    parts.append(enc.encode_to_numpy(text[at:], disallowed_special=()))
+    return np.concatenate([np.asarray(p, np.int64) for p in parts])
+
+
 def line_ends(data: np.ndarray) -> np.ndarray:
     """Where each line's bytes end; a line end belongs to its line, and what follows the last one is a line too."""
     return np.r_[np.flatnonzero(data == 10) + 1, len(data)]
@@ -87,7 +104,7 @@ def section_tokens(docs: DataFrame, rule: str = "first", sections_col: str | Non
             sections = b.column(2).to_pylist() if sections_col else None
             for row, (doc_id, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
                 text = text or ""
-                ids = np.asarray(enc.encode_to_numpy(text, disallowed_special=()) if text else [], np.int64)
+                ids = encoded(enc, text)
                 raw = np.frombuffer(text.encode(), np.uint8)
                 ends = np.cumsum(sizes[ids])
                 if sections is None:
