@@ -5,7 +5,8 @@ A vocabulary with log-probabilities is used as it is. One of ranked merges has n
 that follows another character, and at line ends. So the distinct parts of a batch are filtered forward together, one
 numpy step for each character, and the parts of all its rows sampled backward together, one step for each piece.
 Characters that are not in the vocabulary become byte pieces. The random number of a step is a hash of the seed, the row's key, the part's
-place in the text and the step: results do not depend on partitions or batches.
+place in the text and the step: results do not depend on partitions or batches. A part too long for the range of a double takes the same products one
+by one with its sums scaled by powers of two, which is exact: both ways map a random number to the same piece.
 
 Defined cases: null text is empty and has no pieces; a null key counts as -1; the blank mark in a text is written as
 bytes, so that decoding gives back every text exactly; an empty table gives an empty result; rows repeated with one key
@@ -36,6 +37,8 @@ WHOLE, LIFT = 64, 3.0
 TOGETHER = 1 << 20
 #: Log-probability of a character written as bytes.
 AS_BYTES = -12.0
+#: Weight of a character that is in no piece.
+STRAY = math.exp(AS_BYTES + LIFT)
 #: A line's end; blanks and the word after them; blanks before a line's end.
 PART = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
 #: The blank becomes the mark of the vocabulary; a mark in the text becomes a blank, which is in no piece.
@@ -129,26 +132,6 @@ class Pieces:
             todo = todo[~hit & (found != 0)]
         return out
 
-    def ways(self, part: str, j: int, forward) -> list[tuple[float, int, int]]:
-        """(log weight, where the piece starts, its id) of the pieces that end at j; a character in no piece has the code -1 - its number."""
-        out = []
-        for i in range(max(0, j - self.longest), j):
-            w = self.log_p.get(part[i:j])
-            if w is not None:
-                out.append((forward[i] + w, i, self.id[part[i:j]]))
-        if part[j - 1] not in self.log_p:
-            out.append((forward[j - 1] + AS_BYTES, j - 1, -1 - ord(part[j - 1])))
-        return out
-
-    def filtered(self, part: str):
-        """Forward sums: the log weight of all segmentations of the first j characters."""
-        forward = array("d", [0.0])
-        for j in range(1, len(part) + 1):
-            ways = self.ways(part, j, forward)
-            top = max(ways)[0]
-            forward.append(top + math.log(sum(math.exp(w - top) for w, _, _ in ways)))
-        return forward
-
     def lattice(self, parts: list[str]):
         """parts: distinct, none over self.whole characters. For every character the chances (summed up) of the lengths of the
         piece that ends there, and the codes of those pieces; and where each part's characters begin."""
@@ -172,7 +155,7 @@ class Pieces:
         while len(edges) > 1 and not len(edges[-1][0]):
             edges.pop()
         way, code = np.zeros((len(edges), n)), np.zeros((len(edges), n), np.int32)
-        way[0], code[0] = math.exp(AS_BYTES + LIFT), -1 - chars.astype(np.int32)
+        way[0], code[0] = STRAY, -1 - chars.astype(np.int32)
         for i, (end, weight, piece) in enumerate(edges):
             way[i, end], code[i, end] = weight, piece
         # forward sums, all parts at once from the longest to the shortest
@@ -198,20 +181,41 @@ class Pieces:
         return np.ascontiguousarray(way.T, np.float32), np.ascontiguousarray(code.T), begin, size
 
     def sample_one(self, part: str, key: int) -> list[int]:
-        """Codes of a long part, last piece first, without keeping its lattice."""
-        forward, j, step, out = self.filtered(part), len(part), 0, []
+        """Codes of a long part, last piece first: what lattice() and encode() do, in the same order of operations, for each
+        character by itself. Only ways that exist are kept, so memory follows their number."""
+        forward = [1.0]  # sums up to each of the last self.longest characters, times a power of two
+        chance, code, size, begin = array("f"), array("i"), array("b"), array("q", [0])
+        for j in range(1, len(part) + 1):
+            ways = []
+            for n in range(1, min(j, self.longest) + 1):
+                w = self.log_p.get(part[j - n : j])
+                if w is not None:
+                    ways.append((math.exp(w + LIFT * n), n, self.id[part[j - n : j]]))
+                elif n == 1:
+                    ways.append((STRAY, 1, -1 - ord(part[j - 1])))
+            total = 0.0
+            for w, n, _ in ways:
+                total += w * forward[-n]
+            sofar = 0.0
+            for w, n, c in ways:
+                sofar += w * (forward[-n] / total)
+                chance.append(sofar)
+                code.append(c)
+                size.append(n)
+            begin.append(len(chance))
+            forward.append(total)
+            if len(forward) > self.longest:
+                del forward[0]
+            if not 2.0**-200 < total < 2.0**200:
+                by = -math.frexp(total)[1]
+                forward = [math.ldexp(f, by) for f in forward]
+        j, step, out = len(part), 0, []
         keys = np.array([key], np.uint64)
         while j:
-            ways = self.ways(part, j, forward)
-            top = max(ways)[0]
-            weights = [math.exp(w - top) for w, _, _ in ways]
-            u, sofar = float(chances(keys, step)[0]) * sum(weights), 0.0
-            for w, (_, i, code) in zip(weights, ways):
-                sofar += w
-                if u < sofar:
-                    break
-            out.append(code)
-            j, step = i, step + 1
+            u = float(chances(keys, step).astype(np.float32)[0])
+            at = next((i for i in range(begin[j - 1], begin[j]) if chance[i] > u), begin[j] - 1)
+            out.append(code[at])
+            j, step = j - size[at], step + 1
         return out
 
     def codes_of(self, c: int) -> list[int]:
