@@ -3,24 +3,29 @@
 Texts and items are lower-cased and their white space runs become one blank. An item of n characters may differ in
 floor(rate * n) edits from some stretch of a document. It is cut into one piece more than that, so a stretch within budget
 has at least one piece unchanged. An Aho-Corasick automaton finds the pieces; the regions that its hits allow are merged
-for each item and verified by Myers' bit-parallel distance. Items come in blocks of bounded size, so what goes to the
-executors does not grow with the benchmark; every block meets every document.
+for each item and verified by Myers' bit-parallel distance. Items come in blocks of at most BLOCK_BYTES, one of which is on
+the driver and goes to the executors at a time, so neither grows with the benchmark; every block meets every document.
+Where there are several blocks, what each finds is stored before the next is read.
 
-Defined cases: null text is empty; items empty after normalisation match nothing; an item shorter than min_chars must
-match whole and exactly; repeated items and rows are reported each; an empty table gives an empty result; other columns
+Defined cases: null text is empty; items empty after normalisation match nothing; an item too short for one edit at this
+rate (under 20 characters at 5 %) must match exactly; repeated items and rows are reported each; an empty table gives an empty result; other columns
 are ignored by matches() and kept by decontaminated().
 """
 
 from __future__ import annotations
 
+import functools
 import re
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-RATE, MIN_CHARS, BLOCK_BYTES = 0.05, 40, 4 << 20
+from .common import stored
+
+RATE, BLOCK_BYTES = 0.05, 4 << 20
 SPACE = re.compile(r"\s+")
 _built: dict = {}
 
@@ -30,7 +35,7 @@ def plain(text: str | None) -> str:
 
 
 def budget(n: int, rate: float = RATE) -> int:
-    return int(rate * n) if n >= MIN_CHARS else 0
+    return int(rate * n)
 
 
 def pieces(item: str, k: int) -> list[tuple[int, str]]:
@@ -106,7 +111,7 @@ def scan(text: str | None, items: list[tuple[int, str]], rate: float, pieces_of)
         best, end = len(item) + 1, 0
         for lo, hi in merged(regions):
             at = text.find(item, lo, hi)
-            d, e = (0, at + len(item)) if at >= 0 else myers(item, text[lo:hi]) if len(item) >= MIN_CHARS else (len(item) + 1, 0)
+            d, e = (0, at + len(item)) if at >= 0 else myers(item, text[lo:hi])
             if d < best:
                 best, end = d, e if at >= 0 else lo + e
             if not best:
@@ -127,18 +132,21 @@ def merged(regions: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> list[list[tuple[int, str]]]:
-    """The items in blocks of at most BLOCK_BYTES, or one item; each is collected by itself."""
+def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[list[tuple[int, str]]]:
+    """The items in blocks of at most BLOCK_BYTES, or one item, one block after the other: an item is dealt to a partition
+    by hash, and the driver holds one partition and one block."""
     b = benchmark.select(benchmark[id_col].cast("long").alias("item_id"), benchmark[text_col].cast("string").alias("text"))
-    out, size = [[]], 0
-    for r in b.toLocalIterator():
+    size = b.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    block, size_of = [], 0
+    for r in b.repartition(1 + size // BLOCK_BYTES, F.xxhash64("item_id", "text")).toLocalIterator():
         text = plain(r.text)
         if text:
-            if out[-1] and size + len(text) > BLOCK_BYTES:
-                out, size = [*out, []], 0
-            out[-1].append((r.item_id, text))
-            size += len(text)
-    return out
+            if block and size_of + len(text) > BLOCK_BYTES:
+                yield block
+                block, size_of = [], 0
+            block.append((r.item_id, text))
+            size_of += len(text)
+    yield block
 
 
 def hits(text: Column, block: list[tuple[int, str]], rate: float = RATE) -> Column:
@@ -154,18 +162,28 @@ def hits(text: Column, block: list[tuple[int, str]], rate: float = RATE) -> Colu
     return find(text)
 
 
+def block_by_block(start: DataFrame, benchmark: DataFrame, one: Callable[[DataFrame, list], DataFrame]) -> Iterator[DataFrame]:
+    """What one(start, block) gives for each block: stored where another block follows."""
+    before = None
+    for block in blocks(benchmark):
+        if before is not None:
+            yield stored(one(start, before), "block")
+        before = block
+    yield one(start, before)
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """doc_id, item_id, distance and ends, for every document and item within budget."""
     d = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    out = None
-    for block in blocks(benchmark):
-        found = d.select("doc_id", F.inline(hits(F.col("text"), block, rate)))
-        out = found if out is None else out.unionByName(found)
-    return out
+    one = lambda df, block: df.select("doc_id", F.inline(hits(F.col("text"), block, rate)))
+    return functools.reduce(DataFrame.unionByName, block_by_block(d, benchmark, one))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
-    """docs without the rows that hold an item of the benchmark."""
+    """docs without the rows that hold an item of the benchmark; each block sees what the blocks before it kept."""
+    before = None
     for block in blocks(benchmark):
-        docs = docs.where(F.size(hits(docs["text"].cast("string"), block, rate)) == 0)
-    return docs
+        if before is not None:
+            docs = stored(docs.where(F.size(hits(docs["text"].cast("string"), before, rate)) == 0), "block")
+        before = block
+    return docs.where(F.size(hits(docs["text"].cast("string"), before, rate)) == 0)
