@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -98,6 +99,7 @@ PII = [
     (5, "IBAN DE89 3704 0044 0532 0130 00 and DE89370400440532013001 and GB82WEST12345698765432"),
     (6, "social security 078-05-1120; order 078-05-1120 is " + "far " * 20 + "away 219-09-9999"),
     (7, "my visa card 378282246310005"),
+    (10, 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"; digest ' + "far " * 20 + "04dbebab91ab85687d33eeaaf9ac699e1188f962 key 00000000000000000000000000000000"),
     (None, None),
     (8, ""),
     (9, "a" * 60_000 + "@" + "1 " * 30_000 + "2.3" * 9000 + "+1" * 1000),
@@ -121,10 +123,23 @@ def test_base_spans_by_brute_force(spark, sf_dir):
 
 
 def test_added_spans(spark):
-    spans = {r.doc_id: [(s.kind, s.found, s.score) for s in r.spans] for r in pii.find_pii(frame(spark, PII[4:7])).collect()}
+    spans = {r.doc_id: [(s.kind, s.found, s.score) for s in r.spans] for r in pii.find_pii(frame(spark, PII[4:8])).collect()}
     assert [f for k, f, _ in spans[5] if k == "iban"] == ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"]
     assert [f for k, f, _ in spans[6] if k == "ssn"] == ["078-05-1120"] * 2  # the word is near the first two only
     assert [k for k, _, _ in spans[7]] == ["short_card"]
+    assert [(k, f[:4]) for k, f, _ in spans[10]] == [("secret", "04db")]
+
+
+def test_many_matches_in_one_text(spark):
+    """Time follows the number of matches, and chunks change neither offsets nor context."""
+    n = 100_000
+    text = "10.1.2.3 " * n
+    began = time.time()
+    got = pii.pii_report(frame(spark, [(1, text)])).first()
+    assert time.time() - began < 30 and got.n_ip == n
+    assert got.base_sha256 == hashlib.sha256(",".join(f"ip:{9 * i}:{9 * i + 8}" for i in range(n)).encode()).hexdigest()
+    spans = pii.find_pii(frame(spark, [(1, "order 078-05-1120 " * 300 + "ssn 078-05-1120 078-05-1120 " * 200)])).first().spans
+    assert [s.start for s in spans][-400:] == [300 * 18 + 28 * i + a for i in range(200) for a in (4, 16)]
 
 
 def test_pii_runs_no_python(spark, capsys):
@@ -182,6 +197,22 @@ def test_sampling_has_the_lattice_distribution(vocabulary):
         assert max(abs(got[k] / n - w / total) for k, w in want.items()) < 0.01
 
 
+def test_long_parts_are_sampled_like_short_ones(vocabulary):
+    """A part's length chooses between two ways to sample, which give the same pieces for each key."""
+    rng = random.Random(11)
+    words = ["understanding", "▁x" * 3, "漢字é" * 4, *("".join(rng.choice("etaoinshrdlé漢") for _ in range(rng.randint(1, 36))) for _ in range(400))]
+    texts, keys = [w for w in words for _ in range(5)], list(range(5 * len(words)))
+    old, want = vocabulary.whole, vocabulary.encode(texts, keys)
+    for whole in (0, 5):
+        vocabulary.whole = whole
+        got = vocabulary.encode(texts, keys)
+        vocabulary.whole = old
+        assert np.array_equal(got[0], want[0]) and np.array_equal(got[1], want[1])
+    long = "".join(rng.choice("etaoinshrdl") for _ in range(20_000))
+    ids, _ = vocabulary.encode([long], [3])
+    assert vocabulary.decode(ids.tolist()) == long
+
+
 # decontamination
 
 
@@ -197,10 +228,10 @@ def plain_distance(item, text):
 def test_matches_by_brute_force(spark):
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7)))
-    items = [(i, " ".join(word() for _ in range(rng.randint(8, 30)))) for i in range(12)] + [(50, None), (51, "  "), (52, "tiny item"), (None, "an item without an identifier but with text")]
-    rows = [(None, None), (0, "")]
+    items = [(i, " ".join(word() for _ in range(rng.randint(8, 30)))) for i in range(12)] + [(50, None), (51, "  "), (52, "tiny item"), (53, "a short item of 24 chars"), (54, "a short item of 24 chars"), (None, "an item without an identifier but with text")]
+    rows = [(None, None), (0, ""), (7, "see a short itm of 24 chars"), (7, "see a short itm of 24 chars"), (8, "a shrt itm of 24 chars"), (9, "tiny iem")]
     for i in range(120):
-        _, item = rng.choice(items[:12] + items[14:])
+        _, item = rng.choice(items[:12] + items[-1:])
         chars = list(item)
         for _ in range(rng.randint(0, int(0.09 * len(chars)))):
             at = rng.randrange(len(chars))
@@ -216,6 +247,13 @@ def test_matches_by_brute_force(spark):
     assert got == want and len(want) > 60
 
 
+def test_long_text_is_searched_to_its_end(spark):
+    item = "the quick brown fox jumps over a lazy dog"
+    docs = frame(spark, [(1, "x" * 300_000 + " " + item.replace("quick", "quik") + " " + "y " * 200_000), (2, "x" * 300_000 + " quick brown")])
+    got = decontaminate.matches(docs, spark.createDataFrame([(5, item)], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id, r.distance) for r in got] == [(1, 5, 1)]
+
+
 def test_blocks_change_nothing(spark, monkeypatch, sf_dir):
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     one = sorted(tuple(r) for r in decontaminate.matches(docs, items).collect())
@@ -253,6 +291,20 @@ def test_tokens_against_another_encoder(spark, sf_dir):
             assert [int(x) for x in r.section_tokens] == want
 
 
+def test_long_white_space(spark):
+    """The encoder's pattern refuses runs of about a million; cutting them out changes no token."""
+    from pathlib import Path
+
+    enc, _ = tokens.encoding(Path(tokens.VOCABULARY).read_bytes())
+    n = tokens.LONG
+    for text in ("a" + " " * n + "b", "\n" * n, "a" + " \r\n" * n + ".", "x" + "\u2003" * n + " y" + "\x1c" * n + "z", " " * (n - 1) + "b", " " * n + "b" + "\t" * n):
+        assert tokens.encoded(enc, text).tolist() == enc.encode(text, disallowed_special=())
+    big = frame(spark, [(1, "a" + " " * 2_000_000 + "b"), (2, "\n" * 2_000_000), (None, None), (None, None)])
+    got = {r.doc_id: r for r in tokens.section_tokens(big).collect()}
+    assert got[1].n_tokens == sum(got[1].section_tokens) and got[1].n_sections == 1
+    assert got[2].n_sections == 2_000_001 and got[None].n_tokens == 0
+
+
 def test_allocation_rules(spark):
     ends = np.array([3, 10, 12])
     for rule, want in (("first", [2, 0, 1]), ("most", [1, 1, 1]), ("share", [1 + 1 / 7, 6 / 7, 1])):
