@@ -37,6 +37,26 @@ def test_exact_by_brute_force(spark):
         assert sum(r.kept for r in got) == len(groups)
 
 
+def test_exact_over_many_flushes(spark):
+    """Five flushes fill level 0 five times: four runs of level 1 become one of level 2, and the last stays beside it."""
+    rows = EDGES + [(100 + i, f"t{i % 90} {'z' * (i % 3)}{' ' * (i % 5)}", "s") for i in range(500)]
+    index = exact_dedup.DigestIndex(spark)
+    for part in range(5):
+        index.flush(frame(spark, rows[part::5]))
+    assert {k: len(v) for k, v in index.levels.items()} == {0: 0, 1: 1, 2: 1}
+    many, one = (collections.Counter(tuple(r) for r in d.collect()) for d in (index.result(), exact_dedup.exact_dedup(frame(spark, rows))))
+    assert many == one and sum(many.values()) == len(rows)
+    assert list(index.levels) == [3]
+
+
+def test_filter_knows_every_digest(spark):
+    df = spark.range(20_000).select(F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("digest"), (F.col("id") % 4 == 0).alias("put"))
+    bits = exact_dedup.filter_of(df.where("put"))
+    got = df.withColumn("f_block", exact_dedup.block_of(F.col("digest"))).join(bits, "f_block", "left").groupBy("put").agg(F.avg(exact_dedup.known(F.col("bitmap"), F.col("digest")).cast("double")).alias("share")).collect()
+    share = {r.put: r.share for r in got}
+    assert share[True] == 1.0 and share[False] < 0.01
+
+
 def test_empty_tables(spark):
     e = spark.createDataFrame([], SCHEMA)
     assert exact_dedup.exact_dedup(e).count() == 0
