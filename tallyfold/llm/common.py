@@ -15,16 +15,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one of this session if unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master, whose tasks run on this machine,
+    gets a temporary one where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tallyfold-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+#: Folders that this process has made and not deleted yet, and tables over them.
+_made: list[str] = []
+_tables: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tallyfold-{name}-{uuid.uuid4().hex[:12]}"
+    _made.append(f"{shared_dir(spark)}/tallyfold-{name}-{uuid.uuid4().hex[:12]}")
+    return _made[-1]
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -33,7 +42,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     freed(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
 def freed(spark: SparkSession) -> None:
@@ -43,10 +54,34 @@ def freed(spark: SparkSession) -> None:
 
 
 def removed(spark: SparkSession, path: str) -> None:
-    """Deletes a table that stored() wrote, when nothing reads it any more."""
+    """Deletes a folder, when nothing reads it any more."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    if path in _made:
+        _made.remove(path)
+
+
+def discarded(*frames: DataFrame) -> None:
+    """Deletes what stored() wrote for these frames; what was derived from them must be stored already. Others stay as they are."""
+    for df in frames:
+        if path := getattr(df, "stored_at", None):
+            removed(df.sparkSession, path)
+
+
+def marks() -> tuple[int, int]:
+    return len(_made), len(_tables)
+
+
+def cleaned(spark: SparkSession, since: tuple[int, int] = (0, 0), keep: DataFrame | None = None) -> None:
+    """Deletes every folder and table of intermediate results made since marks(), but for that of `keep`. To be called when
+    the results that read them are stored."""
+    for name in _tables[since[1] :]:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        _tables.remove(name)
+    for path in _made[since[0] :]:
+        if path != getattr(keep, "stored_at", None):
+            removed(spark, path)
 
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, partitions, stored
+from .common import discarded, id_and_text, partitions, stored
 
 RADIUS, WIDTH, SEED = 3, 3, 42
 BLOCKS = ((0, 22), (22, 21), (43, 21))
@@ -122,24 +122,23 @@ def links(distinct: DataFrame) -> DataFrame:
     return met.distinct()
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
-    """node and root, for every node of the edges: alternating large-star and small-star until nothing changes. Only counts reach the driver."""
+def components(edges: DataFrame) -> DataFrame:
+    """node and root, for every node of the edges: alternating large-star and small-star until the edges are stars, that is,
+    until no node has two parents or a parent and a child. Each pair of steps keeps the components, and only a few rows that
+    say whether to go on reach the driver."""
     e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    before = None
-    for _ in range(most):
+    while True:
+        ends = e.select(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("v").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)").isEmpty():
+            break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy(F.col("u").alias("g")).agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(least, F.col("u") == F.col("g")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         down = large.groupBy(F.col("u").alias("g")).agg(F.min("v").alias("m"))
         small = large.join(down, F.col("u") == F.col("g")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select(F.col("g").alias("u"), F.col("m").alias("v")))
-        e = stored(small.where("u <> v").distinct(), "stars")
-        n, total = e.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.hash("u", "v").cast("long")), F.lit(0))).first()
-        if (n, total) == before:
-            break
-        before = n, total
-    else:
-        raise RuntimeError("components did not settle")
+        before, e = e, stored(small.where("u <> v").distinct(), "stars")
+        discarded(before)
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
