@@ -5,6 +5,9 @@ sites are made for each line hash and salt and merged by aggregation; a line who
 threshold gets an exact distinct count. Of each boilerplate line the occurrence in the smallest doc_id (first line of it)
 stays, so that a text copied to many sites is not lost from all of them; the others go. `keep_first=False` removes all.
 
+Lines are hashed once into a table that the three passes over them read; texts are not split again before lines go. A line
+ends at LF only and only blanks are trimmed, so a line that ends in CRLF differs from the same line that ends in LF.
+
 Lines that occur on one site only, or fewer than min_sites times, get no sketch: they cannot reach the threshold.
 Line hashes have 128 bits. Defined cases: null text is empty; a null site is no site; a null doc_id sorts after every
 other; rows repeated with the same doc_id and text are treated alike; ties of doc_id between different texts are broken by
@@ -52,7 +55,7 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 def removals(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, keep_first: bool = True, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
     """r_id, r_th (hash of the text) and gone, the numbers of the lines to remove, for the documents that have any."""
     d = with_keys(docs, id_col, text_col, site_col)
-    lines = line_table(d, min_chars)
+    lines = stored(line_table(d, min_chars), "hashed")
     found = stored(boilerplate(lines, min_sites), "boilerplate")
     at = lines.join(found, ["h1", "h2"])
     if keep_first:
