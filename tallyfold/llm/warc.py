@@ -6,7 +6,9 @@ with WARC-Segment-Total-Length. A row whose payload equals that of a row with a
 whose HTTP header still states Content-Length. Archives are written by Spark's text sink, which ends each record's bytes
 with the CRLF that a record ends with and compresses each archive, so they may lie in any store that Spark reaches.
 
-Reading: records are cut out by Content-Length; those in one piece are decoded at once; pieces are shuffled by origin
+Reading: an archive comes as a stream of pieces between CRLFs, decompressed on the way, so that a task holds a record and
+not an archive; only an archive that is not compressed and larger than Spark's splits must be compressed first. Records are
+cut out of the stream by Content-Length; those in one piece are decoded at once; pieces are shuffled by origin
 identifier and segment number, ordered, checked against the total length and decoded. A broken archive raises.
 
 Defined cases: null html is an empty payload, null url an empty target; a null page_id is kept and sorts after every
@@ -17,7 +19,6 @@ table gives no archive and an empty result; other columns are ignored.
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import re
 
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import new_path
 
-SEGMENT_BYTES, CHUNK_BYTES = 8192, 2048
+SEGMENT_BYTES, CHUNK_BYTES, SALTS = 8192, 2048, 32
 CRLF = b"\r\n"
 RESULT = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, segments int"
 PIECE = "origin string, number int, total long, page_id long, digest string, data binary"
@@ -101,7 +102,10 @@ def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 0, segm
         .where("n > 1")
         .select("again_sha", "first_id")
     )
-    p = p.join(again, p.sha == again.again_sha, "left").select(
+    # a payload may have a third of all rows: its one row goes to SALTS places, and its copies are dealt over them
+    again = again.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("again_salt"))
+    p = p.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    p = p.join(again, (p.sha == again.again_sha) & (p.salt == again.again_salt), "left").select(
         "page_id", "url", "html", F.when(F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id")).alias("refers")
     )
 
@@ -114,20 +118,44 @@ def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 0, segm
     p.mapInArrow(build, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\r\n").option("compression", "gzip").text(path)
 
 
+class Cutter:
+    """Cuts the records out of an archive that comes in pieces, each without the CRLF after it."""
+
+    def __init__(self, name: str = ""):
+        self.name, self.head, self.body, self.size, self.fields = name, [], [], 0, None
+
+    def add(self, piece: bytes):
+        """The records, (fields, block), that this piece completes."""
+        if self.fields is None:
+            if piece or not self.head:
+                if not self.head and not piece.startswith(b"WARC/"):
+                    raise ValueError(f"{self.name}: no record where one should begin")
+                self.head.append(piece)
+                return
+            self.fields = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in b"\r\n".join(self.head[1:]).decode().split("\r\n"))}
+            self.want, self.head = int(self.fields["content-length"]), []
+            return
+        # a record's block and the two CRLFs after it are the pieces up to an empty one that ends behind them
+        self.body.append(piece)
+        self.size += len(piece) + 2
+        if self.size >= self.want + 4:
+            data = CRLF.join([*self.body, b""])
+            if self.size != self.want + 4 or data[self.want :] != CRLF + CRLF:
+                raise ValueError(f"{self.name}: a record does not end where its length says")
+            done, self.body, self.size, self.fields = (self.fields, data[: self.want]), [], 0, None
+            yield done
+
+    def end(self) -> None:
+        if self.fields is not None or self.head:
+            raise ValueError(f"{self.name}: the archive ends inside a record")
+
+
 def cut(data: bytes):
-    """(fields, block) of each record of an archive."""
-    at, end = 0, len(data)
-    while at < end:
-        stop = data.index(CRLF + CRLF, at)
-        lines = data[at:stop].decode().split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}")
-        fields = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        n, at = int(fields["content-length"]), stop + 4
-        if data[at + n : at + n + 4] != CRLF + CRLF:
-            raise ValueError("a record does not end where its length says")
-        yield fields, data[at : at + n]
-        at += n + 4
+    """(fields, block) of each record of an archive that is in memory."""
+    cutter = Cutter()
+    for piece in data.removesuffix(CRLF).split(CRLF) if data else ():
+        yield from cutter.add(piece)
+    cutter.end()
 
 
 def page_of(name: str) -> int | None:
@@ -138,14 +166,20 @@ def page_of(name: str) -> int | None:
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """page_id, payload (null for revisits) and what the records state of it, for every record of the archives."""
     whole = f"{RESULT}, payload binary"
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{txt,gz,warc}").load(path).select("content")
+    lines = spark.read.option("lineSep", "\r\n").option("pathGlobFilter", "*.{txt,gz,warc}").text(path)
+    lines = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("starts"), F.col("value").cast("binary").alias("piece"))
 
     def scan(batches):
+        done, pieces, held, cutter = [], [], 0, None
         for b in batches:
-            for data in b.column(0):
-                done, pieces, held = [], [], 0
-                data = data.as_buffer().to_pybytes()
-                for f, block in cut(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
+            for name, starts, piece in zip(*(b.column(i).to_pylist() for i in range(3))):
+                if starts:
+                    raise ValueError(f"{name} is not compressed and was split: compress it")
+                if cutter is None or cutter.name != name:
+                    if cutter:
+                        cutter.end()
+                    cutter = Cutter(name)
+                for f, block in cutter.add(piece):
                     if "warc-segment-number" in f:
                         origin = f.get("warc-segment-origin-id", f["warc-record-id"])
                         total = int(f["warc-segment-total-length"]) if "warc-segment-total-length" in f else None
@@ -162,7 +196,9 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                     if held > 4 << 20:
                         yield batch(done, pieces)
                         done, pieces, held = [], [], 0
-                yield batch(done, pieces)
+        if cutter:
+            cutter.end()
+        yield batch(done, pieces)
 
     wp, pp = to_arrow(whole), to_arrow(PIECE)
 
@@ -173,7 +209,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
     # both kinds of record come from one scan, which is written so that it is not repeated for each
     at = new_path(spark, "scan")
-    files.mapInArrow(scan, f"whole struct<{whole.replace(' ', ':').replace(',:', ',')}>, piece struct<{PIECE.replace(' ', ':').replace(',:', ',')}>").write.option("compression", "zstd").parquet(at)
+    lines.mapInArrow(scan, f"whole struct<{whole.replace(' ', ':').replace(',:', ',')}>, piece struct<{PIECE.replace(' ', ':').replace(',:', ',')}>").write.option("compression", "zstd").parquet(at)
     both = spark.read.parquet(at)
     done = both.where("whole is not null").select("whole.*")
     # repeated rows repeat each segment: one of each is kept and the number of first ones counted

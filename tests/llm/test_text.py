@@ -41,7 +41,7 @@ def plain_pages(pages, least):
 @pytest.mark.parametrize("least,segment", [(0, 64), (8, 8192)])
 def test_warc_round_trip(spark, least, segment):
     rng = random.Random(2)
-    texts = ["", None, "WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n", "é\r\n\r\n0\r\n\r\n" * 40, "x" * 30_000, "\x00\n", "short"]
+    texts = ["", None, "WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n", "é\r\n\r\n0\r\n\r\n" * 40, "x" * 30_000, "\x00\n", "short", "\r" * 5_000 + "\r\n\r" * 900]
     pages = [(i, f"http://a/{i}\r\nX: y" if i % 5 else None, rng.choice(texts)) for i in range(60)] + [(None, "u", "only here"), (None, None, "x" * 30_000)]
     pages += pages[3:9]
     df = spark.createDataFrame([(*p, "no") for p in pages], "page_id long, url string, html string, digest string")
@@ -62,6 +62,30 @@ def test_warc_refuses_broken_archives():
     assert warc.unchunked(warc.chunked(b"", 4)) == b"" and warc.unchunked(warc.chunked(b"abcdefgh", 3)) == b"abcdefgh"
 
 
+def test_warc_segments_that_do_not_fit(spark, tmp_path):
+    """Through the reader: complete archives in any order, and one segment missing, repeated, misnumbered or cut short."""
+    import gzip
+
+    whole = [r + b"\r\n" for r in warc.records(1, "u", b"pay\r\n\r\nload" * 50, None, 64)]
+    other = [r + b"\r\n" for r in warc.records(2, "u", b"", None, 64)]
+    assert len(whole) > 4
+
+    def read(name, *archives):
+        at = tmp_path / name
+        at.mkdir()
+        for i, a in enumerate(archives):
+            (at / f"{i}.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in a))  # a member for each record
+        return sorted(tuple(r)[:2] for r in warc.read_archives(spark, str(at)).collect())
+
+    assert read("whole", whole[::-1], other) == [(1, 550), (2, 0)]
+    assert read("apart", *[[r] for r in whole], other) == [(1, 550), (2, 0)]
+    assert read("twice", whole, whole) == [(1, 550), (1, 550)]
+    wrong = whole[1].replace(b"Segment-Number: 2", b"Segment-Number: 9")
+    for name, archive in (("missing", whole[:1] + whole[2:]), ("wrong", [whole[0], wrong, *whole[2:]]), ("short", [*whole[:-1], whole[-1][:-9]]), ("first", whole[1:])):
+        with pytest.raises(Exception, match="segments are missing|ends|should begin|no attribute|digest"):
+            read(name, archive)
+
+
 def test_warc_empty(spark):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
