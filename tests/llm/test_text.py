@@ -350,7 +350,7 @@ def test_toxicity_on_held_out_rows(spark):
     got = toxicity.toxicity(docs, labels).join(labels, "doc_id").where("held_out and toxic is not null").select("score", "predicted", "toxic").collect()
     right = sum(r.predicted == r.toxic for r in got) / len(got)
     caught = sum(r.predicted for r in got if r.toxic) / sum(r.toxic for r in got)
-    assert right > 0.97 and caught > 0.9
+    assert right > 0.98 and caught > 0.9
 
 
 def test_held_out_labels_do_not_matter(spark, sf_dir):
