@@ -15,7 +15,7 @@ gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import re
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,27 +27,28 @@ from .common import discarded, id_and_text, partitions, stored
 
 RADIUS, WIDTH, SEED = 3, 3, 42
 BLOCKS = ((0, 22), (22, 21), (43, 21))
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Shingles whose hashes are held as bits at once.
 STEP = 1 << 16
 
 
+def words_of(text: str) -> list[bytes]:
+    """Words in UTF-8: of bytes, only A-Z have a lower case and only \\x20 and \\x09 to \\x0D are blanks."""
+    return text.encode().lower().split()
+
+
 def fingerprint(text: str, width: int = WIDTH) -> int:
-    words = WORD.findall(text.translate(LOWER))
+    words = words_of(text)
     if not words:
         return 0
     n = max(1, len(words) - width + 1)
     counts = np.zeros(64, np.int64)
     for at in range(0, n, STEP):
-        part = [" ".join(words[i : i + width]) for i in range(at, min(n, at + STEP))]
-        h = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in part), np.uint64, len(part))
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        part = [b" ".join(words[i : i + width]) for i in range(at, min(n, at + STEP))]
+        h = np.fromiter(map(xxhash.xxh64_intdigest, part, repeat(SEED)), np.uint64, len(part))
+        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int32)
     return int.from_bytes(np.packbits(2 * counts > n, bitorder="little").tobytes(), "little")
 
 
-LOWER = {c: c + 32 for c in range(65, 91)}
-
-
 def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id and fp, the fingerprint as a signed long."""
 
