@@ -57,5 +57,32 @@ def series_stats(series: DataFrame, keys: list[str], order: str, value: str, per
     )
 
 
+def book_stats(series: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
+    """n_months, mean_monthly, sharpe and max_drawdown of each key's monthly series; zeros below two months."""
+    s = series_stats(series, keys, order, value)
+    two = lambda c: F.when(F.col("n_periods") > 1, F.col(c)).otherwise(0.0)
+    return s.select(*keys, F.col("n_periods").alias("n_months"), two("mean").alias("mean_monthly"), two("sharpe").alias("sharpe"), two("max_drawdown").alias("max_drawdown"))
+
+
+def bps_summary(x: str) -> list[Column]:
+    """n, mean and median in basis points, t and the share above 0; zeros for no rows."""
+    zero = F.lit(0.0)
+    return [
+        F.count(x).alias("n"), F.coalesce(F.avg(x) * 1e4, zero).alias("mean_bps"), F.coalesce(F.median(x) * 1e4, zero).alias("median_bps"), one_sample_t(x).alias("t"),
+        F.coalesce(F.avg((F.col(x) > 0).cast("double")), zero).alias("hit_rate"),
+    ]
+
+
+def every_cell(rows: DataFrame, dims: dict[str, list], aggregates: list[Column]) -> DataFrame:
+    """Aggregates for every combination of the dimensions' values, of no rows too."""
+    spark = rows.sparkSession
+    grid = None
+    for name, values in dims.items():
+        d = spark.createDataFrame([(v,) for v in values], f"{name} {'int' if isinstance(values[0], int) else 'string'}")
+        grid = d if grid is None else grid.crossJoin(d)  # a few values each
+    marked = rows.select(*rows.columns).withColumn("_in", F.lit(True))
+    return grid.join(marked, list(dims), "left").groupBy(*dims).agg(*aggregates)
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])

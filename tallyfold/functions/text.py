@@ -161,18 +161,110 @@ def score_to_probability(score: Column, scale: float = 0.02) -> Column:
     return 0.5 + 0.5 * F.least(F.abs(score) / scale, F.lit(1.0))
 
 
+#: Words of a company's form, which say nothing about who it is.
+NAME_NOISE = r"\b(?:INC|CORP|CORPORATION|COMPANY|CO|LTD|LIMITED|PLC|LP|LLC|HOLDINGS?|GROUP|INTERNATIONAL|THE|NEW|CLASS\s+[A-C]|COM|SA|NV|AG)\b"
+
+
 def normalise_company(name: Column) -> Column:
-    bare = F.regexp_replace(F.upper(F.coalesce(name, F.lit(""))), r"\b(?:INC|INCORPORATED|CORP|CORPORATION|CO|COMPANY|LTD|LIMITED|LLC|LP|PLC|HOLDINGS|GROUP|THE)\b", "")
-    return F.regexp_replace(bare, "[^A-Z0-9]", "")
+    return F.regexp_replace(F.regexp_replace(F.upper(F.coalesce(name, F.lit(""))), NAME_NOISE, " "), "[^A-Z0-9]", "")
 
 
 def normalise_ticker(raw: Column) -> Column:
     return F.replace(F.upper(F.trim(F.regexp_replace(raw, r"[​‌‍﻿]", ""))), F.lit("."), F.lit("-"))
 
 
+#: Exchange codes that stand beside a symbol, and words for no symbol.
+EXCHANGE_CODES = ("NYSE", "NASDAQ", "NASD", "OTCBB", "OTC", "OTCMKTS", "OTCQB", "OTCQX", "TSX", "TSXV", "AMEX", "ARCA", "BATS", "PINK", "OB", "NYSEAMERICAN", "NYSEMKT", "CBOE", "NYSEARCA")
+NO_SYMBOL = ("NA", "NONE", "N", "A", "NULL", "TBD")
+
+
 def clean_ticker(raw: Column) -> Column:
-    parts = F.split(F.upper(F.coalesce(raw, F.lit(""))), r"[\s,;:()/\[\]\"']+")
-    return F.get(F.filter(parts, lambda p: p.rlike(r"^[A-Z][A-Z0-9.-]{0,5}$") & ~p.isin(*NOT_TICKERS)), F.lit(0))
+    """The first token of a free-text symbol field that looks like a symbol: a letter and up to seven characters in all."""
+    parts = F.transform(F.split(F.upper(F.coalesce(raw, F.lit(""))), r"[^A-Z0-9.\-]+"), lambda p: F.regexp_replace(p, r"^[.\-]+|[.\-]+$", ""))
+    return F.get(F.filter(parts, lambda p: p.rlike(r"^[A-Z][A-Z0-9.\-]{0,6}$") & ~p.isin(*EXCHANGE_CODES, *NO_SYMBOL)), F.lit(0))
+
+
+#: Item codes of the buckets and groups, first match first.
+HIGH_IMPACT, EARNINGS = ("1.03", "2.06", "4.02", "5.02"), "2.02"
+ITEM_GROUPS = (("earnings", ("2.02",)), ("management", ("5.02",)), ("agreement", ("1.01", "1.02")))
+
+
+def code_set(codes: Column) -> Column:
+    return F.filter(F.transform(F.split(F.coalesce(codes, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def is_earnings(codes: Column) -> Column:
+    return F.array_contains(code_set(codes), EARNINGS)
+
+
+def bucket_for(codes: Column) -> Column:
+    any_of = F.arrays_overlap(code_set(codes), F.array(*[F.lit(c) for c in HIGH_IMPACT]))
+    return F.when(any_of, "high-impact").when(is_earnings(codes), "earnings").otherwise("routine")
+
+
+def item_group(codes: Column) -> Column:
+    out = F.lit("other")
+    for name, wanted in reversed(ITEM_GROUPS):
+        out = F.when(F.arrays_overlap(code_set(codes), F.array(*[F.lit(c) for c in wanted])), name).otherwise(out)
+    return out
+
+
+#: Phrases of an item's description and its code; the first phrase that a line has names its code.
+ITEM_PHRASES = (
+    ("results of operations", "2.02"), ("departure of directors", "5.02"), ("election of directors", "5.02"), ("appointment of certain officers", "5.02"),
+    ("entry into a material definitive agreement", "1.01"), ("termination of a material definitive agreement", "1.02"), ("bankruptcy or receivership", "1.03"),
+    ("completion of acquisition", "2.01"), ("creation of a direct financial obligation", "2.03"), ("triggering events", "2.04"), ("costs associated with exit", "2.05"),
+    ("material impairments", "2.06"), ("notice of delisting", "3.01"), ("unregistered sales", "3.02"), ("material modification to rights", "3.03"),
+    ("changes in registrant", "4.01"), ("non-reliance", "4.02"), ("changes in control", "5.01"), ("amendments to articles", "5.03"),
+    ("temporary suspension of trading", "5.04"), ("amendment to registrant", "5.05"), ("submission of matters to a vote", "5.07"),
+    ("shareholder director nominations", "5.08"), ("regulation fd", "7.01"), ("financial statements and exhibits", "9.01"), ("other events", "8.01"),
+)
+
+
+def item_codes(descriptions: Column) -> Column:
+    """Sorted distinct codes of an array of spelled-out descriptions; what no phrase fits has none."""
+
+    def code(line: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for phrase, number in reversed(ITEM_PHRASES):
+            out = F.when(F.contains(F.lower(line), F.lit(phrase)), number).otherwise(out)
+        return out
+
+    return F.array_sort(F.array_distinct(F.array_compact(F.transform(descriptions, code))))
+
+
+#: Words of company names that many companies share.
+SHARED_NAME_WORDS = (
+    "INC CORP CORPORATION COMPANY LTD LIMITED PLC LLC HOLDING HOLDINGS GROUP THE AND TRUST INTERNATIONAL NEW AMERICAN NATIONAL UNITED GENERAL FIRST GLOBAL SERVICES SERVICE "
+    "SYSTEMS TECHNOLOGIES TECHNOLOGY ENERGY FINANCIAL CAPITAL BANK INDUSTRIES ENTERPRISES RESOURCES PRODUCTS PARTNERS UNKNOWN"
+).split()
+
+
+def name_words(name: Column) -> Column:
+    """Words of three characters or more that set a company apart."""
+    return F.array_distinct(F.filter(F.split(F.upper(F.coalesce(name, F.lit(""))), "[^A-Z0-9]+"), lambda w: (F.length(w) > 2) & ~w.isin(*SHARED_NAME_WORDS)))
+
+
+def looks_like_markup(name: Column, body: Column) -> Column:
+    return F.contains(F.substring(body, 1, 2000), F.lit("<")) & F.lower(name).rlike(r"\.html?$")
+
+
+def anonymized_or_raise(redacted: Column, version: Column, wanted: str) -> Column:
+    """The text, where its version is the wanted one and the second scan finds nothing; other rows end the job."""
+    found = find_leaks(redacted)
+    return F.when(~version.eqNullSafe(F.lit(wanted)), F.raise_error(F.concat(F.lit("text of version "), F.coalesce(version, F.lit("none"))))).when(F.size(found) > 0, F.raise_error(F.concat(F.lit("leaks: "), F.array_join(found, ", ")))).otherwise(redacted)
+
+
+def rendered(template: str, **fields: Column) -> Column:
+    """A template with {name} places filled from columns."""
+    out = F.lit(template)
+    for name, value in fields.items():
+        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(value.cast("string"), F.lit("")))
+    return out
+
+
+def p_value(p: Column) -> Column:
+    return F.when(p < 0.001, "<0.001").otherwise(F.format_string("%.3f", p))
 
 
 def primary_item(codes: Column) -> Column:

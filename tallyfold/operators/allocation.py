@@ -41,3 +41,27 @@ def trend(bars_i: DataFrame, sessions: DataFrame, sleeves: list[str], cash: str,
     whole = whole.withColumn("_changed", F.when(before.isNull() | (before != F.col("held")), 1).otherwise(0))
     k = float(len(sleeves))
     return whole.groupBy("month").agg(F.sum("_changed").alias("n_changed"), (F.avg("ret") - F.sum("_changed") / k * 2 * cost_bps / 10_000.0).alias("ret"))
+
+
+def compared(trended: DataFrame, bars_i: DataFrame, sessions: DataFrame, benchmark: str, bond: str, period) -> DataFrame:
+    """label (trend, hold, mixed), period and n_months, cagr, volatility, sharpe, max_drawdown of monthly returns: the trend's
+    rows (month, ret), the benchmark held, and 0.6 of it with 0.4 of the bond; months that lack a price of these go."""
+    ends = month_ends(sessions)
+    ends = ends.withColumn("next_idx", F.lead("idx").over(Window.orderBy("idx"))).withColumn("month", F.lead("day").over(Window.orderBy("idx"))).select("idx", "next_idx", "month")
+
+    def held(ticker, out):
+        a = bars_i.where((F.col("ticker") == ticker) & (F.col("adj_close") > 0)).select("idx", F.col("adj_close").alias("_a"))
+        b = bars_i.where(F.col("ticker") == ticker).select(F.col("idx").alias("next_idx"), F.col("adj_close").alias("_b"))
+        return ends.join(a, "idx").join(b, "next_idx").select("month", (F.col("_b") / F.col("_a") - 1).alias(out))
+
+    j = trended.join(held(benchmark, "hold"), "month").join(held(bond, "_bond"), "month").withColumn("mixed", 0.6 * F.col("hold") + 0.4 * F.col("_bond"))
+    labelled = F.explode(F.array(*[F.struct(F.lit(n).alias("label"), F.col(c).alias("x")) for n, c in (("trend", "ret"), ("hold", "hold"), ("mixed", "mixed"))]))
+    long = j.select("month", period.alias("period"), labelled.alias("_l")).select("month", "period", "_l.*")
+    w = Window.partitionBy("label", "period").orderBy("month").rowsBetween(Window.unboundedPreceding, 0)
+    long = long.withColumn("_wealth", F.product(1 + F.col("x")).over(w)).withColumn("_peak", F.greatest(F.lit(1.0), F.max("_wealth").over(w)))
+    n, sd = F.count("x"), F.stddev_samp("x")
+    two = lambda c: F.when(n > 1, c).otherwise(0.0)
+    return long.groupBy("label", "period").agg(
+        n.alias("n_months"), two(F.pow(F.product(1 + F.col("x")), 12.0 / n) - 1).alias("cagr"), two(sd * F.sqrt(F.lit(12.0))).alias("volatility"),
+        two(F.avg("x") / sd * F.sqrt(F.lit(12.0))).alias("sharpe"), two(F.abs(F.least(F.lit(0.0), F.min(F.col("_wealth") / F.col("_peak") - 1)))).alias("max_drawdown"),
+    )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,24 +16,42 @@ def opportunistic(p: DataFrame, years: int = 3) -> DataFrame:
 def trailing(p: DataFrame, days: int = 30) -> DataFrame:
     """For each purchase the distinct owners and the value of its ticker's rows up to it in source order and at most `days` back.
 
-    A self equi-join on (ticker, month) with the range as residual keeps memory flat where a window's list would grow with
-    the whole history: a row meets its own month and as many earlier ones as the window can reach."""
-    a = p.select("ticker", "day", "row_no", "owner", "value")
-    back = days // 28 + 1
-    block = lambda d: F.year(d) * 12 + F.month(d)
-    b = a.select(F.col("ticker").alias("_t"), F.col("day").alias("_d"), F.col("row_no").alias("_n"), F.col("owner").alias("_o"), F.col("value").alias("_v"), F.explode(F.array(*[block(F.col("day")) + i for i in range(back + 1)])).alias("_b"))
-    j = a.withColumn("_block", block(F.col("day"))).join(b, (F.col("ticker") == F.col("_t")) & (F.col("_block") == F.col("_b")) & (F.col("_d") >= F.date_sub("day", days)) & ((F.col("_d") < F.col("day")) | ((F.col("_d") == F.col("day")) & (F.col("_n") <= F.col("row_no")))))
-    return j.groupBy("ticker", "day", "row_no").agg(F.count_distinct("_o").alias("n_owners"), F.sum("_v").alias("total_value"))
+    Every row adds its value where it stands and takes it off when `days` have passed, and an owner's rows that follow each
+    other within `days` are one stay, which counts from its first row until `days` after its last. So both numbers are
+    running sums over a ticker's rows and endings: linear in its rows, and no row meets another. Values are added as decimals
+    of four places, exactly."""
+    a = p.select("ticker", "day", "row_no", "owner", F.col("value").cast("decimal(28,4)").alias("_v"))
+    own = Window.partitionBy("ticker", "owner").orderBy("day", "row_no")
+    before, after = F.lag("day").over(own), F.lead("day").over(own)
+    a = a.withColumn("_first", before.isNull() | (F.col("day") > F.date_add(before, days))).withColumn("_last", after.isNull() | (after > F.date_add("day", days)))
+    over = F.date_add("day", days + 1)
+    rows = a.select("ticker", "day", F.lit(1).alias("_kind"), "row_no", F.col("_first").cast("int").alias("_o"), "_v")
+    ends = a.groupBy("ticker", over.alias("day")).agg(F.lit(0).alias("_kind"), F.lit(None).cast("long").alias("row_no"), (-F.sum(F.col("_last").cast("int"))).cast("int").alias("_o"), (-F.sum("_v")).cast("decimal(28,4)").alias("_v"))
+    running = Window.partitionBy("ticker").orderBy("day", "_kind", "row_no").rowsBetween(Window.unboundedPreceding, 0)
+    t = rows.unionByName(ends).withColumn("n_owners", F.sum("_o").over(running)).withColumn("total_value", F.sum("_v").over(running).cast("double"))
+    return t.where("_kind = 1").select("ticker", "day", "row_no", "n_owners", "total_value")
 
 
 def fired(candidates: DataFrame, cooldown: int = 30) -> DataFrame:
-    """Of each ticker's candidates in order, those at least `cooldown` days after the last that fired. A fold over the
-    sorted days: whether a row fires depends on which fired before it. What is folded is bounded by days times rows of a day."""
-    folded = candidates.groupBy("ticker").agg(F.sort_array(F.collect_list(F.struct("day", "row_no", "n_owners", "total_value"))).alias("rows"))
-    zero = F.struct(F.lit(None).cast("date").alias("last"), F.array().cast("array<struct<day:date,row_no:bigint,n_owners:bigint,total_value:double>>").alias("out"))
-    fires = lambda a, x: a["last"].isNull() | (F.datediff(x["day"], a["last"]) >= cooldown)
-    kept = F.aggregate("rows", zero, lambda a, x: F.struct(F.when(fires(a, x), x["day"]).otherwise(a["last"]).alias("last"), F.when(fires(a, x), F.array_append(a["out"], x)).otherwise(a["out"]).alias("out")), lambda a: a["out"])
-    return folded.select("ticker", F.inline(kept))
+    """Of each ticker's candidates in order, those at least `cooldown` days after the last that fired. Whether a row fires
+    depends on which fired before it, so a task walks its tickers' sorted rows and holds one day; a ticker over many batches
+    goes on where the last ended."""
+    c = candidates.select("ticker", "day", "row_no", "n_owners", "total_value")
+
+    def walk(batches):
+        of, last = None, None
+        for b in batches:
+            tickers, days, kept = b.column(0).to_pylist(), b.column(1).to_pylist(), []
+            for i, (ticker, day) in enumerate(zip(tickers, days)):
+                if i and ticker != tickers[i - 1] or not i and ticker != of:
+                    last = None
+                if last is None or (day - last).days >= cooldown:
+                    last = day
+                    kept.append(i)
+            of = tickers[-1] if tickers else of
+            yield b.take(pa.array(kept, pa.int64()))
+
+    return c.repartition("ticker").sortWithinPartitions("ticker", "day", "row_no").mapInArrow(walk, c.schema)
 
 
 def cluster_events(p: DataFrame, owners: int = 2, value: float = 0.0, days: int = 30, cooldown: int = 30) -> DataFrame:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 #: Words without content.
 STOPWORDS = (
-    "the and for that with this from are was were will has have had not but its our their which any all may such other been more than "
-    "under into upon shall would these those each also between during pursuant herein thereof"
+    "the and for that with this from are was were has have had not but its their our which will shall may can such other than then into over under "
+    "more most any all been being about above below between during before after"
 ).split()
 
 
@@ -36,8 +36,10 @@ def vectors(docs: DataFrame, key: str, text: str, vocab: DataFrame) -> DataFrame
 
 def change(docs: DataFrame, key: str, text: str, issuer: list[str], order: str, vocab: DataFrame) -> DataFrame:
     """key, prev and change = 1 - cosine with the previous document of the issuer; a document without text breaks the chain."""
-    chain = docs.withColumn("prev", F.lag(F.struct(key, text)).over(Window.partitionBy(*issuer).orderBy(order, key)))
-    pairs = chain.where(F.col(text).isNotNull() & F.col("prev")[text].isNotNull()).select(key, F.col("prev")[key].alias("prev"))
+    has = F.col(text).isNotNull().alias("_has")  # texts stay out of the window's sort
+    chain = docs.select(key, *issuer, order if order != key else F.col(key).alias("_order"), has)
+    chain = chain.withColumn("prev", F.lag(F.struct(key, "_has")).over(Window.partitionBy(*issuer).orderBy(order if order != key else "_order", key)))
+    pairs = chain.where(F.col("_has") & F.col("prev")["_has"]).select(key, F.col("prev")[key].alias("prev"))
     v = vectors(docs.where(F.col(text).isNotNull()), key, text, vocab)
     a = pairs.join(v, key)
     b = v.select(F.col(key).alias("_p"), F.col("token").alias("_t"), F.col("w").alias("_w"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import functools
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PENNY = 5.0
@@ -28,7 +30,7 @@ def window_returns(df: DataFrame, bars_i: DataFrame, ticker: str, start: str, en
 
 
 def event_returns(events: DataFrame, bars_i: DataFrame, sessions: DataFrame, benchmark: str, horizons: tuple[int, ...]) -> DataFrame:
-    """events (accession, ticker, entry_idx and any more) times horizons, with exit_idx, raw, bench, excess and reason.
+    """events (accession, ticker, entry_idx, and of predictions direction and probability, and any more) times horizons, with exit_idx, raw, bench, excess and reason.
 
     Lookups are by session index: the prior close is that of the session before, not of the bar before. The first failing
     test names the reason; reason is null where excess is given."""
@@ -43,8 +45,10 @@ def event_returns(events: DataFrame, bars_i: DataFrame, sessions: DataFrame, ben
     e = e.join(opened, (F.col("ticker") == F.col("_ot")) & (F.col("entry_idx") == F.col("_oi")), "left")
     e = window_returns(e, bars_i, "ticker", "entry_idx", "exit_idx", "raw")
     e = window_returns(e.withColumn("_bench", F.lit(benchmark)), bars_i, "_bench", "entry_idx", "exit_idx", "bench")
+    given = [F.col(c).isNull() for c in ("direction", "probability") if c in events.columns]
     reason = (
-        F.when(F.col("exit_idx").isNull() | (F.col("exit_idx") > F.col("last_idx")), "exit_beyond_calendar")
+        F.when(functools.reduce(Column.__or__, given, F.lit(False)), "prediction_is_null")
+        .when(F.col("exit_idx").isNull() | (F.col("exit_idx") > F.col("last_idx")), "exit_beyond_calendar")
         .when(F.col("_cov").isNull(), "no_price_coverage_for_ticker")
         .when(F.col("prior_close").isNull(), "no_prior_close")
         .when(F.col("prior_close") < PENNY, "prior_close_below_5_usd")
@@ -58,6 +62,19 @@ def event_returns(events: DataFrame, bars_i: DataFrame, sessions: DataFrame, ben
 
 def ledger(returns: DataFrame, keys: list[str], example: str = "accession", examples: int = 5) -> DataFrame:
     """Count and the first few examples of each reason."""
-    least = F.slice(F.sort_array(F.collect_set(example)), 1, examples) if examples else F.array()
-    counted = returns.where("reason is not null").groupBy(*keys, "reason")
-    return counted.agg(F.count(F.lit(1)).alias("n"), F.min(example).alias("first_example")) if examples == 1 else counted.agg(F.count(F.lit(1)).alias("n"), least.alias("examples"))
+    r = returns.where("reason is not null")
+    counted = r.groupBy(*keys, "reason")
+    if examples == 1:
+        return counted.agg(F.count(F.lit(1)).alias("n"), F.min(example).alias("first_example"))
+    # each task cuts its groups to the first few before anything is gathered
+    few = r.select(*keys, "reason", example).distinct().withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "reason").orderBy(example))).where(F.col("_r") <= examples)
+    few = few.groupBy(*keys, "reason").agg(F.sort_array(F.collect_list(example)).alias("examples"))
+    return counted.agg(F.count(F.lit(1)).alias("n")).join(few, [*keys, "reason"])
+
+
+def net_return(signed: Column, cost_bps) -> Column:
+    return signed - F.lit(cost_bps) / 10_000.0
+
+
+def signed_excess(direction: Column, excess: Column) -> Column:
+    return F.when(direction == "up", excess).when(direction == "down", -excess)

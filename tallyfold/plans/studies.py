@@ -387,7 +387,7 @@ def parsed_answers(t):
     return t.raw("events").select("event_id", text.parse_answer(raw).alias("a")).select("event_id", F.col("a.direction").alias("direction"), F.col("a.probability").alias("probability"))
 
 
-@query("SELECT c_custkey, regexp_replace(regexp_replace(upper(c_name), '\\b(?:INC|INCORPORATED|CORP|CORPORATION|CO|COMPANY|LTD|LIMITED|LLC|LP|PLC|HOLDINGS|GROUP|THE)\\b', '', 'g'), '[^A-Z0-9]', '', 'g') AS name_key FROM customer")
+@query("SELECT c_custkey, regexp_replace(regexp_replace(upper(c_name), '\\b(?:INC|CORP|CORPORATION|COMPANY|CO|LTD|LIMITED|PLC|LP|LLC|HOLDINGS?|GROUP|INTERNATIONAL|THE|NEW|CLASS\\s+[A-C]|COM|SA|NV|AG)\\b', ' ', 'g'), '[^A-Z0-9]', '', 'g') AS name_key FROM customer")
 def company_keys(t):
     return t.raw("customer").select("c_custkey", text.normalise_company(F.col("c_name")).alias("name_key"))
 
@@ -447,9 +447,10 @@ def upsert_latest(t):
     return intervals.first_by(e, ["user_id", "event_type"], F.desc("ts"), F.desc("event_id")).select("user_id", "event_type", "event_id", "value")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
 def unscored_keys(t):
-    return intervals.append_new(t.raw("customer").select("c_custkey"), t.raw("orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    """Customers without a filled order."""
+    return intervals.append_new(t.raw("customer").select("c_custkey"), t.raw("orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
 
 
 @query("SELECT 'wanted_not_have' AS op, count(*) AS n FROM (SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier) UNION ALL SELECT 'both', count(*) FROM (SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier) UNION ALL SELECT 'either', count(*) FROM (SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier)")

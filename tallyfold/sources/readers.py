@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-QUOTA_MARKS = "(?i)quota|rate limit|exceeded|upgrade your"
+from ..functions.text import item_codes
+
+#: What the price vendor writes into a refusal that it sends with status 200.
+QUOTA_MARKS = ("run over your", "symbol look up", "hourly request allocation", "upgrade at https://api.tiingo.com/pricing")
 
 
 def master_index(lines: DataFrame, form: str = "8-K", column: str = "value") -> DataFrame:
@@ -29,6 +34,7 @@ def filing_header(text: Column, zone: str = "America/New_York") -> Column:
         one(r"(?m)COMPANY CONFORMED NAME:\s*(.+)$").alias("company"),
         F.array_sort(F.array_distinct(F.transform(many(r"(?m)FORMER CONFORMED NAME:\s*(.+)$"), lambda x: F.trim(x)))).alias("former_names"),
         F.array_sort(F.array_distinct(F.transform(many(r"(?m)ITEM INFORMATION:\s*(.+)$"), lambda x: F.trim(x)))).alias("items"),
+        item_codes(many(r"(?m)ITEM INFORMATION:\s*(.+)$")).alias("item_codes"),
         F.zip_with(F.transform(many(r"<TYPE>([^\n<]+)"), lambda x: F.trim(x)), F.transform(many(r"<SEQUENCE>([^\n<]+)"), lambda x: F.trim(x)), lambda t, s: F.struct(t.alias("type"), F.coalesce(s, F.lit("999")).alias("sequence"))).alias("documents"),
     )
 
@@ -47,7 +53,100 @@ def url_to_path(url: Column) -> Column:
 
 
 def is_quota_error(body: Column) -> Column:
-    return F.regexp_like(F.substring(F.coalesce(body, F.lit("")), 1, 400), F.lit(QUOTA_MARKS))
+    head = F.lower(F.substring(F.coalesce(body, F.lit("")), 1, 400))
+    return functools.reduce(Column.__or__, [F.contains(head, F.lit(m)) for m in QUOTA_MARKS])
+
+
+def purged(cache: DataFrame, body: str = "body") -> tuple[DataFrame, DataFrame]:
+    """What a cache of bodies keeps, and the refusals that must be fetched again."""
+    bad = is_quota_error(F.col(body))
+    return cache.where(~bad), cache.where(bad)
+
+
+#: Addresses of the archive.
+ARCHIVE = "https://www.sec.gov/Archives"
+
+
+def quarter_index_url(year: Column, quarter: Column) -> Column:
+    return F.format_string(f"{ARCHIVE}/edgar/full-index/%d/QTR%d/master.idx", year, quarter)
+
+
+def filing_dir_url(cik: Column, accession: Column) -> Column:
+    return F.concat(F.lit(f"{ARCHIVE}/edgar/data/"), cik.cast("string"), F.lit("/"), F.replace(accession, F.lit("-"), F.lit("")))
+
+
+def headers_url(cik: Column, accession: Column) -> Column:
+    return F.concat(filing_dir_url(cik, accession), F.lit("/"), accession, F.lit("-index-headers.html"))
+
+
+def submission_url(cik: Column, accession: Column) -> Column:
+    return F.concat(filing_dir_url(cik, accession), F.lit("/"), accession, F.lit(".txt"))
+
+
+def submission_bodies(text: Column) -> Column:
+    """Map of file name to body of a submission's documents; of a name that repeats the last counts."""
+    docs = F.regexp_extract_all(text, F.lit(r"(?s)<DOCUMENT>(.*?)(?=<DOCUMENT>|</SEC-DOCUMENT>|\z)"), F.lit(1))
+    named = F.transform(docs, lambda d: F.struct(F.trim(F.regexp_extract(d, r"<FILENAME>([^\r\n<]*)", 1)).alias("key"), F.regexp_extract(d, r"(?s)<TEXT>(.*?)(?:</TEXT>|\z)", 1).alias("value")))
+    last = F.filter(named, lambda x, i: ~F.exists(F.slice(named, i + 2, F.size(named)), lambda y: y["key"] == x["key"]) & (x["key"] != ""))
+    return F.map_from_entries(last)
+
+
+def submission_company(body: Column) -> Column:
+    """sic and description of a registrant's JSON."""
+    return F.struct(F.get_json_object(body, "$.sic").alias("sic"), F.get_json_object(body, "$.sicDescription").alias("sic_description"))
+
+
+def sample_accessions(spark: SparkSession, path: str) -> DataFrame:
+    """The frozen ids of a sample file; a file without any raises, since it would select everything."""
+    ids = spark.read.csv(path, header=True).select(F.trim("accession_no").alias("accession_no")).where("accession_no <> ''").distinct()
+    if ids.isEmpty():
+        raise ValueError(f"{path} names no accession")
+    return ids
+
+
+def trades(spark: SparkSession, table: str | None, bundle: str, schema: str) -> DataFrame:
+    """Trades from the table where it exists, or else from the CSV bundle, in the same columns."""
+    if table and spark.catalog.tableExists(table):
+        names = [c.strip().split()[0] for c in schema.split(",")]
+        return spark.table(table).select(*names)
+    return spark.read.schema(schema).csv(bundle, header=True)
+
+
+def zipped_tsv(spark: SparkSession, path: str, member: str, schema: str) -> DataFrame:
+    """Rows of one tab-separated member of zip archives, a task for each archive, which streams its lines; row_no counts them
+    from 0. Columns are found by the header's names; schema lists those wanted, all strings."""
+    names = [c.strip().split()[0] for c in schema.split(",")]
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content")
+
+    def read(batches):
+        import csv
+        import io
+        import zipfile
+
+        import pyarrow as pa
+
+        for b in batches:
+            for content in b.column(1):
+                with zipfile.ZipFile(io.BytesIO(content.as_py())) as z, z.open(member) as f:
+                    rows = csv.reader(io.TextIOWrapper(f, encoding="utf-8", errors="replace"), delimiter="\t")
+                    at = {c: i for i, c in enumerate(next(rows, []))}
+                    held: list[list] = []
+                    for n, row in enumerate(rows):
+                        held.append([n, *(row[at[c]] if c in at and at[c] < len(row) else None for c in names)])
+                        if len(held) == 10_000:
+                            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in held], pa.int64() if not i else pa.string()) for i in range(len(names) + 1)], ["row_no", *names])
+                            held = []
+                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in held], pa.int64() if not i else pa.string()) for i in range(len(names) + 1)], ["row_no", *names])
+
+    return files.mapInArrow(read, "row_no long, " + ", ".join(f"{c} string" for c in names))
+
+
+def html_rows(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """key, table_no, row_no and cells (plain text) of every row of every table of HTML pages; tables are not nested."""
+    cell = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, r"<[^>]*>", " "), r"\s+", " "))
+    tables = pages.select(key, F.posexplode(F.regexp_extract_all(html, F.lit(r"(?is)<table\b[^>]*>(.*?)</table\s*>"), F.lit(1))).alias("table_no", "_t"))
+    rows = tables.select(key, "table_no", F.posexplode(F.regexp_extract_all("_t", F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr\s*>"), F.lit(1))).alias("row_no", "_r"))
+    return rows.select(key, "table_no", "row_no", F.transform(F.regexp_extract_all("_r", F.lit(r"(?is)<t[hd]\b[^>]*>(.*?)</t[hd]\s*>"), F.lit(1)), cell).alias("cells"))
 
 
 def bars_json(bodies: DataFrame, ticker: str = "ticker", body: str = "body") -> DataFrame:
