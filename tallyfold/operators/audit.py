@@ -14,8 +14,11 @@ def parsed_guess(raw: Column) -> Column:
     """Struct (company, ticker, confidence) of an answer from its first brace to its end, and failed: whatever is not JSON as
     a whole, so also text behind the object, fails. An answer without a brace is empty, not failed."""
     start = F.instr(raw, "{")
-    whole = F.when(start > 0, F.try_parse_json(F.substring(raw, start, F.length(raw))))
-    field = lambda name: F.try_variant_get(whole, f"$.{name}", "string")
+    rest = F.substring(raw, start, F.length(raw))
+    # the parser stops behind the first value: in a list, what follows the object breaks it, and a second value shows
+    listed = F.when(F.rtrim(rest).endswith("}"), F.try_parse_json(F.concat(F.lit("["), rest, F.lit("]"))))
+    whole = F.when((start > 0) & F.try_variant_get(listed, "$[1]", "variant").isNull(), listed)
+    field = lambda name: F.try_variant_get(whole, f"$[0].{name}", "string")
     return F.struct(field("company").alias("company"), field("ticker").alias("ticker"), field("confidence").alias("confidence"), ((start > 0) & whole.isNull()).alias("failed"))
 
 
