@@ -34,7 +34,7 @@ MARK = "▁"
 #: A part over this many characters is sampled by itself. Weights of a piece are raised by LIFT for each of its characters, so that products stay in range.
 WHOLE, LIFT = 64, 3.0
 #: Characters that are sampled together.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 18
 #: Log-probability of a character written as bytes.
 AS_BYTES = -12.0
 #: Weight of a character that is in no piece.
