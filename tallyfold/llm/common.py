@@ -47,6 +47,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, name: str, *keys: str) -> DataFrame:
+    """df written once as a table bucketed by its keys: joins on them move the other side only. df: dealt out by the keys."""
+    spark = df.sparkSession
+    _tables.append(f"tallyfold_{name}_{uuid.uuid4().hex[:12]}")
+    df.write.bucketBy(partitions(spark), *keys).format("parquet").option("compression", "zstd").option("path", new_path(spark, name)).saveAsTable(_tables[-1])
+    freed(spark)
+    return spark.table(_tables[-1])
+
+
 def freed(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop the shuffle files of steps whose results are stored: it acts when the driver collects garbage."""
     gc.collect()
@@ -69,19 +78,18 @@ def discarded(*frames: DataFrame) -> None:
             removed(df.sparkSession, path)
 
 
-def marks() -> tuple[int, int]:
-    return len(_made), len(_tables)
+def made() -> list[str]:
+    """Folders and tables of intermediate results that this process has made and not deleted."""
+    return [*_tables, *_made]
 
 
-def cleaned(spark: SparkSession, since: tuple[int, int] = (0, 0), keep: DataFrame | None = None) -> None:
-    """Deletes every folder and table of intermediate results made since marks(), but for that of `keep`. To be called when
-    the results that read them are stored."""
-    for name in _tables[since[1] :]:
+def cleaned(spark: SparkSession, names: list[str] | None = None) -> None:
+    """Deletes the named folders and tables of intermediate results, or all. To be called when what reads them is stored."""
+    for name in [n for n in _tables if names is None or n in names]:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
         _tables.remove(name)
-    for path in _made[since[0] :]:
-        if path != getattr(keep, "stored_at", None):
-            removed(spark, path)
+    for path in [p for p in _made if names is None or p in names]:
+        removed(spark, path)
 
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -20,14 +20,13 @@ it has 200; doc_id may be null or repeated; an empty table gives an empty result
 from __future__ import annotations
 
 import hashlib
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import freed, id_and_text, new_path, partitions, stored
+from .common import bucketed, id_and_text, partitions, stored
 
 WINDOW, GRAM = 200, 48
 ODD = 0x9E3779B97F4A7C15 | 1
@@ -415,14 +414,9 @@ def content_keys(docs: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame, with_bytes: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept (the bytes that remain) if asked for."""
     spark = docs.sparkSession
-    n, name = partitions(spark), f"tallyfold_texts_{uuid.uuid4().hex[:12]}"
+    n = partitions(spark)
     keyed = content_keys(docs)
-    (
-        keyed.groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
-        .write.bucketBy(n, "k1", "k2").format("parquet").option("compression", "zstd").option("path", new_path(spark, "texts")).saveAsTable(name)
-    )
-    freed(spark)
-    texts = spark.table(name)
+    texts = bucketed(keyed.groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies")), "texts", "k1", "k2")
     found = texts.where(F.octet_length("text") >= WINDOW).select("k1", "k2", "text").mapInArrow(find_anchors, "h long, c long, k1 long, k2 long, at long, state byte")
     marks = found.repartition(n, "h").sortWithinPartitions("h", "c").mapInArrow(classify, MARKED)
     marks = stored(marks, "marks")
