@@ -6,7 +6,7 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -99,3 +99,17 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def partitions(spark: SparkSession, factor: int = 1) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) * factor)
+
+
+def numbered(df: DataFrame, order: list[Column | str], name: str, group: str | None = None) -> DataFrame:
+    """df with the column pos: a row's place, from 0, under the order, within its group if one is named. Rows that are equal
+    under the order stand in any order. Ranges of the whole order are sorted apart and stored, and the counts of the ranges
+    before are added: no task sees a whole group. group: a column without nulls."""
+    keys = [group] if group else []
+    spread = df.repartitionByRange(partitions(df.sparkSession), *keys, *order).sortWithinPartitions(*keys, *order)
+    marked = stored(spread.withColumn("_row", F.monotonically_increasing_id()), name)
+    part = F.shiftrightunsigned("_row", 33).alias("_part")
+    ends = marked.groupBy(part, *keys).agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    ends = stored(ends.select("_part", *keys, (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift")), f"{name}-ranges")
+    return marked.withColumn("_part", part).join(ends, ["_part", *keys]).select(*df.columns, (F.col("_row") + F.col("_shift")).alias("pos"))
