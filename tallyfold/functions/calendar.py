@@ -132,3 +132,13 @@ def long_date(text: Column) -> Column:
 
 def insider_date(text: Column) -> Column:
     return F.to_date(F.try_to_timestamp(F.initcap(F.lower(text)), F.lit("dd-MMM-yyyy")))
+
+
+#: How pages write a day, tried in this order.
+PAGE_DATES = ("MMMM d, yyyy", "MMM d, yyyy", "yyyy-MM-dd", "d MMMM yyyy", "d MMM yyyy", "M/d/yyyy", "MMMM d yyyy", "MMM d yyyy", "yyyy/M/d", "yyyyMMdd")
+
+
+def universe_date(raw: Column) -> Column:
+    """The day that a page's cell names, null where it names none; notes in brackets behind it do not count."""
+    bare = F.trim(F.regexp_replace(F.regexp_replace(raw, r"\[[^\]]*\]", ""), r"\s+", " "))
+    return F.coalesce(*[F.to_date(F.try_to_timestamp(bare, F.lit(f))) for f in PAGE_DATES])

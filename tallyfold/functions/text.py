@@ -287,13 +287,3 @@ def parse_answer(raw: Column) -> Column:
     obj = F.when(start > 0, F.from_json(F.substring(bare, start, F.length(bare)), "direction string, probability double, rationale string"))
     good = obj["direction"].isin("up", "down") & obj["probability"].between(0.5, 1.0) & (F.length(obj["rationale"]) > 0)
     return F.when(F.coalesce(good, F.lit(False)), obj)
-
-
-def html_to_text(raw: Column) -> Column:
-    """Without scripts, styles, comments and tags; entities of blanks decoded, white space collapsed, at most one empty line."""
-    out = F.regexp_replace(F.coalesce(raw, F.lit("")), r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", " ")
-    out = F.regexp_replace(F.regexp_replace(out, r"(?s)<!--.*?-->", " "), r"<[^>]*>", " ")
-    for entity, char in (("&nbsp;", " "), ("&#160;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    out = F.regexp_replace(F.regexp_replace(out, r"[ \t\r\f\x0B ]+", " "), r" ?\n ?", "\n")
-    return F.trim(F.regexp_replace(out, r"\n{3,}", "\n\n"))

@@ -57,7 +57,8 @@ def match(rows: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def first_by(rows: DataFrame, keys: list[str], *order) -> DataFrame:
-    """One row for each key: INSERT OR IGNORE, and with the order reversed INSERT OR REPLACE."""
+    """One row for each key: INSERT OR IGNORE, and with the order reversed INSERT OR REPLACE. order: a total one within a key,
+    or at least among rows that differ; else any of the tied rows stays."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
@@ -67,15 +68,17 @@ def append_new(new: DataFrame, old: DataFrame, keys: list[str]) -> DataFrame:
     return new.join(old.select(*keys), keys, "left_anti")
 
 
-def reconstruct(current: DataFrame, changes: DataFrame, since: str = OPEN_SINCE) -> DataFrame:
+def reconstruct(current: DataFrame, changes: DataFrame, since: str = OPEN_SINCE, keys: list[str] | None = None) -> DataFrame:
     """Intervals [start_date, end_date) from present members and dated additions and removals, read backward: an addition
-    opens, the next removal of the ticker closes. A member without addition is open from `since`; empty intervals go."""
-    added = changes.where("added is not null").select(F.col("added").alias("ticker"), "day", F.lit(1).alias("kind"))
-    removed = changes.where("removed is not null").select(F.col("removed").alias("ticker"), "day", F.lit(0).alias("kind"))
-    now = current.select("ticker", F.lit(None).cast("date").alias("day"), F.lit(2).alias("kind"))
-    w = Window.partitionBy("ticker").orderBy(F.col("day").asc_nulls_last(), "kind")
-    e = added.unionByName(removed).unionByName(now).withColumn("n_day", F.lead("day").over(w)).withColumn("n_kind", F.lead("kind").over(w)).withColumn("p_kind", F.lag("kind").over(w))
-    closed = e.where("kind = 1").select("ticker", F.col("day").alias("start_date"), F.when(F.col("n_kind") == 0, F.col("n_day")).when(F.col("n_kind") == 1, F.col("n_day")).alias("end_date"))
-    early = e.where("kind in (0, 2) and (p_kind is null or p_kind = 0)").select("ticker", F.to_date(F.lit(since)).alias("start_date"), F.col("day").alias("end_date"))
-    early = first_by(early, ["ticker"], F.col("end_date").asc_nulls_last())
-    return closed.unionByName(early).where("end_date is null or end_date > start_date")
+    opens, the next removal of the ticker closes. A member without addition is open from `since`; an addition without a later
+    removal, of a ticker that is no present member, makes none; empty intervals go. keys: columns of separate universes."""
+    keys = keys or []
+    moves = F.explode(F.array(F.struct(F.col("added").alias("ticker"), F.lit(1).alias("kind")), F.struct(F.col("removed").alias("ticker"), F.lit(0).alias("kind"))))
+    moved = changes.select(*keys, "day", moves.alias("_m")).select(*keys, "_m.ticker", "day", "_m.kind").where("ticker is not null")
+    now = current.select(*keys, "ticker", F.lit(None).cast("date").alias("day"), F.lit(2).alias("kind"))
+    w = Window.partitionBy(*keys, "ticker").orderBy(F.col("day").asc_nulls_last(), "kind")
+    e = moved.unionByName(now).withColumn("p_day", F.lag("day").over(w)).withColumn("p_kind", F.lag("kind").over(w))
+    # a removal, or being a present member, closes what came before it: an addition, a removal whose addition is missing, or
+    # nothing known; an addition that nothing closes makes no interval
+    e = e.where("kind in (0, 2)").select(*keys, "ticker", F.when(F.col("p_kind").isNull(), F.to_date(F.lit(since))).otherwise(F.col("p_day")).alias("start_date"), F.col("day").alias("end_date"))
+    return e.where("end_date is null or end_date > start_date")

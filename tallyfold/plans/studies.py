@@ -360,19 +360,6 @@ def redaction_tallies(t):
     return t.raw("documents").select("doc_id", "text", text.redaction_counts(F.col("text")).alias("c")).select("doc_id", F.col("c.irs").cast("long").alias("irs"), F.regexp_count("text", F.lit(r"(?U)\b(?:19|20)\d{2}-\d{2}-\d{2}\b")).cast("long").alias("iso_date"))
 
 
-_HTML = "html"
-for _p, _r in (("(?is)<script\\b[^>]*>.*?</script\\s*>", " "), ("(?is)<style\\b[^>]*>.*?</style\\s*>", " "), ("(?s)<!--.*?-->", " "), ("<[^>]*>", " ")):
-    _HTML = f"regexp_replace({_HTML}, '{_p}', '{_r}', 'g')"
-for _e, _c in (("&nbsp;", " "), ("&#160;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
-    _HTML = f"replace({_HTML}, '{_e}', '{_c}')"
-_HTML = f"trim(regexp_replace(regexp_replace(regexp_replace({_HTML}, '[ \\t\\r\\f\\v ]+', ' ', 'g'), ' ?\\n ?', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ')"
-
-
-@query(f"SELECT page_id, {_HTML} AS plain FROM pages")
-def html_text(t):
-    return t.raw("pages").select("page_id", text.html_to_text(F.col("html")).alias("plain"))
-
-
 @query("SELECT event_type, CAST(json_extract(props, '$.k') AS INTEGER) AS k, count(*) AS n FROM events GROUP BY ALL")
 def json_fields(t):
     return t.raw("events").groupBy("event_type", F.from_json("props", "k int")["k"].alias("k")).agg(F.count(F.lit(1)).alias("n"))
@@ -436,9 +423,9 @@ def price_coverage(t):
     return intervals.coverage(t.universe(), bars, "1996-01-01", "1998-12-31")
 
 
-@query("SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber) = 1")
+@query("SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey) = 1")
 def first_by_key(t):
-    return intervals.first_by(t.raw("lineitem"), ["l_orderkey"], "l_shipdate", "l_linenumber").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    return intervals.first_by(t.raw("lineitem"), ["l_orderkey"], "l_shipdate", "l_linenumber", "l_partkey", "l_suppkey").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
 
 
 @query("SELECT user_id, event_type, event_id, round(value, 6) AS value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")

@@ -7,7 +7,9 @@ import functools
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import item_codes
+from ..functions.calendar import universe_date
+from ..functions.html import MARKUP, html_to_text, trimmed, unescaped
+from ..functions.text import item_codes, looks_like_markup
 
 #: What the price vendor writes into a refusal that it sends with status 200.
 QUOTA_MARKS = ("run over your", "symbol look up", "hourly request allocation", "upgrade at https://api.tiingo.com/pricing")
@@ -40,11 +42,14 @@ def filing_header(text: Column, zone: str = "America/New_York") -> Column:
 
 
 def submission_text(text: Column) -> Column:
-    """Bodies of the main document and its EX-99 exhibits, by sequence as text, each under its type in brackets."""
-    docs = F.regexp_extract_all(text, F.lit(r"(?s)<DOCUMENT>(.*?)</DOCUMENT>"), F.lit(1))
-    parts = F.transform(docs, lambda d: F.struct(F.coalesce(F.nullif(F.trim(F.regexp_extract(d, r"<SEQUENCE>([^\n<]+)", 1)), F.lit("")), F.lit("999")).alias("s"), F.trim(F.regexp_extract(d, r"<TYPE>([^\n<]+)", 1)).alias("t"), F.regexp_extract(d, r"(?s)<TEXT>(.*)</TEXT>", 1).alias("b")))
-    kept = F.sort_array(F.filter(parts, lambda p: p["t"].rlike(r"^(8-K|EX-99(\.\d+)?)$")))
-    return F.array_join(F.transform(kept, lambda p: F.concat(F.lit("["), p["t"], F.lit("]\n"), p["b"])), "\n\n")
+    """Texts of the main document and its EX-99 exhibits, by sequence as text, each under its type in brackets. Documents whose
+    name and first characters say that they are markup are flattened; empty ones are left out."""
+    docs = F.regexp_extract_all(text, F.lit(r"(?s)<DOCUMENT>(.*?)(?=<DOCUMENT>|</SEC-DOCUMENT>|\z)"), F.lit(1))
+    field = lambda d, name: F.trim(F.regexp_extract(d, rf"<{name}>([^\r\n<]*)", 1))
+    parts = F.transform(docs, lambda d, i: F.struct(F.coalesce(F.nullif(field(d, "SEQUENCE"), F.lit("")), F.lit("999")).alias("s"), i.alias("i"), field(d, "TYPE").alias("t"), field(d, "FILENAME").alias("f"), F.regexp_extract(d, r"(?s)<TEXT>(.*?)(?:</TEXT>|\z)", 1).alias("b")))
+    kept = F.sort_array(F.filter(parts, lambda p: p["t"].rlike(r"(?i)^(8-K|EX-99(\.\d+)?)$")))
+    flat = F.transform(kept, lambda p: F.struct(p["t"].alias("t"), F.when(looks_like_markup(p["f"], p["b"]), html_to_text(p["b"])).otherwise(trimmed(p["b"])).alias("b")))
+    return F.array_join(F.transform(F.filter(flat, lambda p: p["b"] != ""), lambda p: F.concat(F.lit("["), p["t"], F.lit("]\n"), p["b"])), "\n\n")
 
 
 def url_to_path(url: Column) -> Column:
@@ -142,11 +147,64 @@ def zipped_tsv(spark: SparkSession, path: str, member: str, schema: str) -> Data
 
 
 def html_rows(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """key, table_no, row_no and cells (plain text) of every row of every table of HTML pages; tables are not nested."""
-    cell = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, r"<[^>]*>", " "), r"\s+", " "))
+    """key, table_no, row_no, header (all its cells are headings) and cells (plain text) of every row of every table of HTML
+    pages. A cell over several columns or rows stands in each of them; tables are not nested."""
+    plain = lambda c: F.trim(F.regexp_replace(unescaped(F.regexp_replace(c, MARKUP, " ")), r"(?U)\s+", " "))
+    span = lambda c, name: F.greatest(F.coalesce(F.nullif(F.regexp_extract(c, rf"(?i)^<t[hd]\b[^>]*\b{name}\s*=\s*[\"']?([0-9]{{1,3}})", 1), F.lit("")).cast("int"), F.lit(1)), F.lit(1))
     tables = pages.select(key, F.posexplode(F.regexp_extract_all(html, F.lit(r"(?is)<table\b[^>]*>(.*?)</table\s*>"), F.lit(1))).alias("table_no", "_t"))
-    rows = tables.select(key, "table_no", F.posexplode(F.regexp_extract_all("_t", F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr\s*>"), F.lit(1))).alias("row_no", "_r"))
-    return rows.select(key, "table_no", "row_no", F.transform(F.regexp_extract_all("_r", F.lit(r"(?is)<t[hd]\b[^>]*>(.*?)</t[hd]\s*>"), F.lit(1)), cell).alias("cells"))
+    rows = F.transform(F.regexp_extract_all("_t", F.lit(r"(?is)<tr\b[^>]*>(.*?)(?=</tr\s*>|<tr\b|\z)"), F.lit(1)), lambda r: F.regexp_extract_all(r, F.lit(r"(?is)<t[hd]\b[^>]*>.*?(?=</t[hd]\s*>|<t[hd]\b|\z)"), F.lit(0)))
+    cell = lambda c: F.array_repeat(F.struct(plain(c).alias("text"), (span(c, "rowspan") - 1).alias("left")), span(c, "colspan"))
+    rows = F.transform(rows, lambda r: F.struct(((F.size(r) > 0) & F.forall(r, lambda c: F.lower(F.substring(c, 1, 3)) == "<th")).alias("header"), F.flatten(F.transform(r, cell)).alias("own")))
+    below = F.aggregate("_rows", F.expr("cast(array() as array<struct<header:boolean,cells:array<struct<text:string,left:int>>>>)"), lambda done, row: F.concat(done, F.array(spread_row(F.get(done, F.size(done) - 1)["cells"], row))))
+    grid = tables.select(key, "table_no", rows.alias("_rows")).select(key, "table_no", F.posexplode(below).alias("row_no", "_r"))
+    return grid.select(key, "table_no", "row_no", F.col("_r.header").alias("header"), F.col("_r.cells.text").alias("cells"))
+
+
+def spread_row(above: Column, row: Column) -> Column:
+    """One step down a table: cells of the row above that reach this one keep their columns, the row's own fill the others."""
+    carry, own = F.coalesce(above, F.expr("cast(array() as array<struct<text:string,left:int>>)")), row["own"]
+    width = F.size(F.filter(carry, lambda c: c["left"] > 0)) + F.size(own)
+    before = lambda i: F.size(F.filter(F.slice(carry, 1, i), lambda c: c["left"] > 0))
+    placed = F.transform(
+        F.when(width > 0, F.sequence(F.lit(0), width - 1)).otherwise(F.expr("cast(array() as array<int>)")),
+        lambda i: F.when(F.coalesce(F.get(carry, i)["left"] > 0, F.lit(False)), F.struct(F.get(carry, i)["text"].alias("text"), (F.get(carry, i)["left"] - 1).alias("left"))).otherwise(F.get(own, i - before(i))),
+    )
+    return F.struct(row["header"].alias("header"), placed.alias("cells"))
+
+
+def table_names(rows: DataFrame, key: str) -> DataFrame:
+    """key, table_no and names of the columns of each table with headings at its top: of the heading rows above the first other
+    row, parts that repeat collapse and the rest are joined by "_", in lower case with "_" for blanks."""
+    top = rows.groupBy(key, "table_no").agg(F.min(F.when(~F.col("header"), F.col("row_no"))).alias("_first"), F.collect_list(F.when(F.col("header"), F.struct("row_no", "cells"))).alias("_heads"))
+    heads = F.transform(F.filter(F.sort_array("_heads"), lambda h: F.col("_first").isNull() | (h["row_no"] < F.col("_first"))), lambda h: h["cells"])
+    part = lambda h, j: F.trim(F.coalesce(F.get(h, j), F.lit("")))
+    # a part that repeats the one above is the cell that reaches over both rows
+    name = lambda j: F.aggregate(heads, F.expr("cast(array() as array<string>)"), lambda done, h: F.when((part(h, j) == "") | F.coalesce(F.get(done, F.size(done) - 1) == part(h, j), F.lit(False)), done).otherwise(F.concat(done, F.array(part(h, j)))))
+    names = F.transform(F.sequence(F.lit(0), F.size(F.get(heads, F.lit(0))) - 1), lambda j: F.replace(F.lower(F.array_join(name(j), "_")), F.lit(" "), F.lit("_")))
+    return top.where(F.exists("_heads", lambda h: F.col("_first").isNull() | (h["row_no"] < F.col("_first")))).select(key, "table_no", names.alias("names"))
+
+
+def membership_pages(pages: DataFrame, key: str, html: str) -> tuple[DataFrame, DataFrame]:
+    """Present members (key, ticker, name, cik) and changes (key, row_no, day, added, removed) of pages that list them. The
+    first table with the columns symbol and security has the members; the first with a date and an added column the changes.
+    Of several date columns the shortest counts. Rows without a date that parses, and empty or missing tickers, are left out."""
+    names, cells = F.col("names"), F.col("cells")
+    side = lambda n: n.startswith("added_") | n.startswith("removed_")
+    dated = F.array_sort(F.filter(names, lambda n: F.contains(n, F.lit("date")) & ~side(n)), lambda a, b: F.length(a) - F.length(b))
+    is_current = F.array_contains(names, "symbol") & F.array_contains(names, "security")
+    is_changes = (F.size(dated) > 0) & F.exists(names, lambda n: n.startswith("added_"))
+    place = lambda test: F.get(F.filter(F.transform(names, lambda n, i: F.when(test(n), i)), lambda i: i.isNotNull()), F.lit(0))
+    move = lambda kind: place(lambda n: n.startswith(f"{kind}_") & F.contains(n, F.lit("ticker")))
+    rows = html_rows(pages, key, html)
+    columns = {"symbol": place(lambda n: n == "symbol"), "security": place(lambda n: n == "security"), "cik": place(lambda n: n == "cik"), "date": place(lambda n: n == F.get(dated, F.lit(0))), "added": move("added"), "removed": move("removed")}
+    heads = table_names(rows, key).select(key, "table_no", is_current.alias("is_current"), is_changes.alias("is_changes"), F.struct(*[c.alias(n) for n, c in columns.items()]).alias("at"))
+    first = lambda role: heads.where(role).groupBy(key).agg(F.min_by(F.struct("table_no", "at"), "table_no").alias("_t")).select(key, "_t.*")
+    body = rows.where("not header")
+    cell = lambda name: F.get(cells, F.col(f"at.{name}"))
+    ticker = lambda c: F.nullif(F.nullif(F.replace(F.upper(F.trim(c)), F.lit("."), F.lit("-")), F.lit("")), F.lit("NAN"))
+    current = body.join(first("is_current"), [key, "table_no"]).select(key, ticker(cell("symbol")).alias("ticker"), cell("security").alias("name"), F.expr("try_cast(get(cells, at.cik) as bigint)").alias("cik"))
+    changes = body.join(first("is_changes"), [key, "table_no"]).select(key, "row_no", universe_date(cell("date")).alias("day"), ticker(cell("added")).alias("added"), ticker(cell("removed")).alias("removed"))
+    return current.where("ticker is not null"), changes.where("day is not null")
 
 
 def bars_json(bodies: DataFrame, ticker: str = "ticker", body: str = "body") -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyfold import schema
-from tallyfold.functions import calendar, stats, text
+from tallyfold.functions import calendar, html, stats, text
 from tallyfold.operators import allocation, books, calibration, clusters, intervals, sampling
 from tallyfold.operators.returns import event_returns, ledger, on_index
 from tallyfold.sources import readers, sinks
@@ -125,7 +125,7 @@ def test_text(spark):
     assert not any(w in out.x for w in ("Acme", "2018", "Smith", "555", "bob"))
     one = spark.range(1).select(
         text.primary_item(F.lit(" , 2.02,9.01")).alias("a"), text.primary_item(F.lit(" ,")).alias("b"), text.clean_ticker(F.lit("NYSE: BRK.B")).alias("c"), text.item_list(F.lit("9.01,2.02, 9.01")).alias("d"),
-        text.normalise_company(F.lit("The Acme Holdings, Inc.")).alias("e"), F.length(text.scoring_text(F.repeat(F.lit("word "), F.lit(4000)))).alias("f"), text.html_to_text(F.lit("<p>a&nbsp;b</p><script>x<y</script>\n\n\n\nc")).alias("g"),
+        text.normalise_company(F.lit("The Acme Holdings, Inc.")).alias("e"), F.length(text.scoring_text(F.repeat(F.lit("word "), F.lit(4000)))).alias("f"), html.html_to_text(F.lit("<p>a&nbsp;b</p><script>x<y</script>\n\n\n\nc")).alias("g"),
     ).first()
     assert (one.a, one.b, one.c, one.d, one.e, one.f, one.g) == ("2.02", "NA", "BRK.B", "2.02,9.01", "ACME", 11_999, "a b\n\nc")
 
