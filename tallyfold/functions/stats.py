@@ -5,18 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranks import middle, with_middle
+
 
 def summary(x: str, prefix: str = "") -> list[Column]:
-    """n, mean, sample deviation (0 below two rows) and median; zeros for no rows."""
+    """n, mean, sample deviation (0 below two rows) and median; zeros for no rows. For rows with their middle marked: summarised()."""
     zero = F.lit(0.0)
     return [
         F.count(x).alias(f"{prefix}n"),
         F.coalesce(F.avg(x), zero).alias(f"{prefix}mean"),
         F.coalesce(F.when(F.count(x) > 1, F.stddev_samp(x)), zero).alias(f"{prefix}stdev"),
-        F.coalesce(F.median(x), zero).alias(f"{prefix}median"),
+        F.coalesce(middle(x), zero).alias(f"{prefix}median"),
     ]
 
 
+def summarised(rows: DataFrame, keys: list[str], x: str, aggregates: list[Column]) -> DataFrame:
+    """Aggregates by keys, with exact medians of x that no task gathers."""
+    return with_middle(rows.select(*dict.fromkeys([*keys, x])), keys, x).groupBy(*keys).agg(*aggregates)
+
+
 def one_sample_t(x: str) -> Column:
     n, sd = F.count(x), F.stddev_samp(x)
     return F.when((n > 1) & (sd > 0), F.avg(x) / (sd / F.sqrt(n))).otherwise(0.0)
@@ -68,20 +75,19 @@ def bps_summary(x: str) -> list[Column]:
     """n, mean and median in basis points, t and the share above 0; zeros for no rows."""
     zero = F.lit(0.0)
     return [
-        F.count(x).alias("n"), F.coalesce(F.avg(x) * 1e4, zero).alias("mean_bps"), F.coalesce(F.median(x) * 1e4, zero).alias("median_bps"), one_sample_t(x).alias("t"),
+        F.count(x).alias("n"), F.coalesce(F.avg(x) * 1e4, zero).alias("mean_bps"), F.coalesce(middle(x) * 1e4, zero).alias("median_bps"), one_sample_t(x).alias("t"),
         F.coalesce(F.avg((F.col(x) > 0).cast("double")), zero).alias("hit_rate"),
     ]
 
 
-def every_cell(rows: DataFrame, dims: dict[str, list], aggregates: list[Column]) -> DataFrame:
-    """Aggregates for every combination of the dimensions' values, of no rows too."""
+def every_cell(rows: DataFrame, dims: dict[str, list], x: str, aggregates: list[Column]) -> DataFrame:
+    """Aggregates of x for every combination of the dimensions' values; zeros where there are no rows."""
     spark = rows.sparkSession
     grid = None
     for name, values in dims.items():
         d = spark.createDataFrame([(v,) for v in values], f"{name} {'int' if isinstance(values[0], int) else 'string'}")
         grid = d if grid is None else grid.crossJoin(d)  # a few values each
-    marked = rows.select(*rows.columns).withColumn("_in", F.lit(True))
-    return grid.join(marked, list(dims), "left").groupBy(*dims).agg(*aggregates)
+    return grid.join(summarised(rows, list(dims), x, aggregates), list(dims), "left").na.fill(0)
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:

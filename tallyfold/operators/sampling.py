@@ -19,7 +19,9 @@ def allocation(rows: DataFrame, strata: list[str], total: int) -> DataFrame:
 
 
 def stratified(rows: DataFrame, strata: list[str], key: str, total: int, seed: int = SEED) -> DataFrame:
-    """n_take rows of each stratum, those with the smallest hash of key and seed."""
+    """n_take rows of each stratum, those with the smallest hash of key and seed. No stratum gives over `total` rows, and that
+    bound, a constant, lets each task keep its `total` smallest of a stratum before anything moves (a window group limit, up
+    to spark.sql.optimizer.windowGroupLimitThreshold rows: raise it for larger totals)."""
     w = Window.partitionBy(*strata).orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f"-{seed}"))), key)
-    r = rows.withColumn("_r", F.row_number().over(w)).join(allocation(rows, strata, total), strata)
-    return r.where("_r <= n_take").drop("_r", "n_rows", "n_take")
+    few = rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= total)
+    return few.join(allocation(rows, strata, total), strata).where("_r <= n_take").drop("_r", "n_rows", "n_take")

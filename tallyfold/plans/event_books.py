@@ -54,7 +54,7 @@ def buried(t: Tables) -> DataFrame:
 
 @query(BASE + _BURIED + f"SELECT c.part, c.horizon, g.grp, {bps_sql()} FROM ({_CELLS}) c CROSS JOIN (SELECT unnest(['buried', 'control']) AS grp) g LEFT JOIN gb ON gb.part = c.part AND gb.horizon = c.horizon AND gb.grp = g.grp GROUP BY ALL")
 def timing_study(t):
-    return stats.every_cell(buried(t).select("part", "horizon", "grp", "excess"), {"part": PARTS, "horizon": list(HORIZONS), "grp": ["buried", "control"]}, stats.bps_summary("excess"))
+    return stats.every_cell(buried(t).select("part", "horizon", "grp", "excess"), {"part": PARTS, "horizon": list(HORIZONS), "grp": ["buried", "control"]}, "excess", stats.bps_summary("excess"))
 
 
 @query(
@@ -123,7 +123,7 @@ def cluster_returns(t: Tables) -> DataFrame:
 
 @query(_CLUSTERS + f"SELECT c.part, c.horizon, {bps_sql()} FROM ({_CELLS}) c LEFT JOIN cx ON cx.part = c.part AND cx.horizon = c.horizon GROUP BY ALL")
 def insider_study(t):
-    return stats.every_cell(cluster_returns(t).select("part", "horizon", "excess"), {"part": PARTS, "horizon": list(HORIZONS)}, stats.bps_summary("excess"))
+    return stats.every_cell(cluster_returns(t).select("part", "horizon", "excess"), {"part": PARTS, "horizon": list(HORIZONS)}, "excess", stats.bps_summary("excess"))
 
 
 @query(_CLUSTERS + ", bm AS (SELECT part, month, avg(excess - 0.001) AS r FROM cx WHERE horizon = 20 GROUP BY ALL) " + book_sql("bm", "part"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import calendar, stats, text
-from ..operators import allocation, books, calibration, clusters, intervals, novelty, sampling
+from ..operators import allocation, books, calibration, clusters, intervals, novelty, ranks, sampling
 from ..operators.returns import event_returns, ledger, window_returns
 from .standins import BASE, EXPLORE_TO, Tables
 
@@ -117,7 +117,7 @@ _SUMMARY = "count(excess) AS n, round(coalesce(avg(excess), 0), 6) AS mean, roun
 
 @query(BASE + f"SELECT part, horizon, bucket, {_SUMMARY} FROM good GROUP BY ALL")
 def event_type_stats(t):
-    return priced(t).groupBy("part", "horizon", "bucket").agg(*stats.summary("excess"))
+    return stats.summarised(priced(t), ["part", "horizon", "bucket"], "excess", stats.summary("excess"))
 
 
 @query(
@@ -169,7 +169,7 @@ fr AS (SELECT *, CASE WHEN abs(pre) + abs(post) > 0 THEN abs(pre) / (abs(pre) +
 @query(BASE + _STALE + "SELECT part, bucket, count(*) AS n, round(median(fraction), 6) AS median, round(avg(fraction), 6) AS mean, round(avg(CASE WHEN fraction > 0.5 THEN 1.0 ELSE 0.0 END), 6) AS share_stale FROM fr GROUP BY ALL HAVING count(*) >= 150")
 def staleness(t):
     """Groups of 150 events or more."""
-    s = staled(t).groupBy("part", "bucket").agg(F.count(F.lit(1)).alias("n"), F.median("fraction").alias("median"), F.avg("fraction").alias("mean"), F.avg((F.col("fraction") > 0.5).cast("double")).alias("share_stale"))
+    s = stats.summarised(staled(t), ["part", "bucket"], "fraction", [F.count(F.lit(1)).alias("n"), ranks.middle("fraction").alias("median"), F.avg("fraction").alias("mean"), F.avg((F.col("fraction") > 0.5).cast("double")).alias("share_stale")])
     return s.where("n >= 150")
 
 

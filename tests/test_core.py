@@ -79,7 +79,7 @@ def test_drawdown_and_conventions(spark):
     assert got["a"].max_drawdown == pytest.approx(0.5) and got["b"].sharpe == 0 and got["b"].t == 0
     one = spark.range(1).select(stats.normal_cdf(F.lit(1.96)).alias("p"), stats.normal_cdf(F.lit(-1.0)).alias("q")).first()
     assert one.p == pytest.approx(0.9750021, abs=1e-6) and one.q == pytest.approx(0.1586553, abs=1e-6)
-    assert df.where("false").agg(*stats.summary("r")).first().asDict() == {"n": 0, "mean": 0.0, "stdev": 0.0, "median": 0.0}
+    assert stats.summarised(df.where("false"), [], "r", stats.summary("r")).first().asDict() == {"n": 0, "mean": 0.0, "stdev": 0.0, "median": 0.0}
 
 
 def test_empty_bins_are_there(spark):
