@@ -70,3 +70,36 @@ def test_every_cell_has_zeros(spark):
     df = spark.createDataFrame([("a", 0, 1.0, 1)], SCHEMA).select("k", "g", "x")
     got = {(r.k, r.g): (r.n, r.mean_bps, r.median_bps, r.hit_rate) for r in stats.every_cell(df, {"k": ["a", "b"], "g": [0, 1]}, "x", stats.bps_summary("x")).collect()}
     assert got == {("a", 0): (1, 1e4, 1e4, 1.0), ("a", 1): (0, 0.0, 0.0, 0.0), ("b", 0): (0, 0.0, 0.0, 0.0), ("b", 1): (0, 0.0, 0.0, 0.0)}
+
+
+def test_group_sums_under_membership_by_brute_force(spark):
+    import datetime as dt
+
+    from tallyfold.operators import diffusion, intervals
+
+    rng = random.Random(8)
+    start = dt.date(2014, 1, 1)
+    days = [start + dt.timedelta(d) for d in sorted(rng.sample(range(400), 120))]
+    names = [f"t{i}" for i in range(12)]
+    groups = {n: i % 3 for i, n in enumerate(names)}
+    spans = [(n, start + dt.timedelta(rng.randint(-50, 300)), rng.choice([None, start + dt.timedelta(rng.randint(-50, 450))])) for n in names for _ in range(rng.randint(0, 3))]
+    returns = [(n, i, h, rng.choice([None, 0.0, rng.gauss(0, 1)])) for n in names for i in range(len(days)) for h in (1, 5) if rng.random() < 0.8]
+    events = [(k, rng.choice([*names, "stranger"]), rng.randrange(len(days)), rng.choice([1.0, -1.0])) for k in range(300)]
+    inside = lambda n, d: any(m == n and a <= d and (b is None or d <= b) for m, a, b in spans)
+    s = spark.createDataFrame([(d, i) for i, d in enumerate(days)], "day date, idx int")
+    m = spark.createDataFrame(spans, "ticker string, start_date date, end_date date")
+    present = diffusion.member_sessions(m, s)
+    assert {tuple(r) for r in present.collect()} == {(n, i) for n in names for i, d in enumerate(days) if inside(n, d)}
+    g = spark.createDataFrame(list(groups.items()), "ticker string, grp int")
+    e = spark.createDataFrame(events, "accession int, ticker string, idx int, sign double")
+    sums = diffusion.peer_sums(e, spark.createDataFrame(returns, "ticker string, idx int, horizon int, x double"), g, present)
+    want = {}
+    for k, f, i, sign in events:
+        for h in (1, 5):
+            xs = [sign * x for n, j, hh, x in returns if x is not None and j == i and hh == h and n != f and groups[n] == groups.get(f) and inside(n, days[i])]
+            if xs:
+                want[k, h] = (len(xs), sum(xs), sum(x * x for x in xs), sum(x > 0 for x in xs))
+    got = {(r.accession, r.horizon): (r.n, r.s, r.q, r.hits) for r in sums.collect()}
+    assert got.keys() == want.keys() and all(abs(a - b) < 1e-9 for key in got for a, b in zip(got[key], want[key]))
+    pairs = intervals.peers(e.join(s, "idx"), g.withColumnRenamed("grp", "sic3"), m).collect()
+    assert {(r.accession, r.peer) for r in pairs} == {(k, n) for k, f, i, _ in events for n in names if n != f and groups[n] == groups.get(f) and inside(n, days[i])}
