@@ -1,10 +1,21 @@
-"""TF-IDF change between a document and the one before it of the same issuer and kind."""
+"""TF-IDF change between a document and the one before it of the same issuer and kind.
+
+A corpus is cut into tokens once, into a stored table of counts; vocabulary and vectors are made of that table, and vectors are
+stored once for both sides of the comparison. Documents are numbered in their issuer's order by ranges, and a document meets
+the one before it by a join on (issuer, number): however many documents an issuer has, no task holds its chain.
+
+By definition a text counts up to CHARS characters and a vocabulary up to SIZE tokens; None lifts either bound, and the same
+code then reads whole texts and keeps every token within the document frequencies.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import stored
+from .ranks import ranked
+
 #: Words without content.
 STOPWORDS = (
     "the and for that with this from are was were has have had not but its their our which will shall may can such other than then into over under "
@@ -12,36 +23,54 @@ STOPWORDS = (
 ).split()
 
 
-def tokens(text: Column, chars: int = 20_000) -> Column:
-    found = F.regexp_extract_all(F.substring(F.lower(text), 1, chars), F.lit("([a-z]{3,})"), F.lit(1))
+CHARS, SIZE = 20_000, 50_000
+
+
+def tokens(text: Column, chars: int | None = CHARS) -> Column:
+    low = F.lower(text)
+    found = F.regexp_extract_all(low if chars is None else F.substring(low, 1, chars), F.lit("([a-z]{3,})"), F.lit(1))
     return F.filter(found, lambda t: ~t.isin(*STOPWORDS))
 
 
-def vocabulary(docs: DataFrame, text: str, least: int = 5, share: float = 0.5, size: int = 50_000) -> DataFrame:
-    """token and idf of the `size` most frequent tokens that are in `least` documents or more and in at most `share` of them."""
-    n = docs.agg(F.count(F.lit(1)).alias("n_docs"))
-    df = docs.select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    kept = df.crossJoin(F.broadcast(n)).where((F.col("df") >= least) & (F.col("df") <= F.floor(share * F.col("n_docs"))))  # one row
-    return kept.orderBy(F.desc("df"), "token").limit(size).select("token", F.log(F.col("n_docs") / F.col("df")).alias("idf"))
+def terms(docs: DataFrame, key: str, text: str, chars: int | None = CHARS) -> DataFrame:
+    """key, n (tokens of the text), token and c (its count), stored. key: unique; texts without a token have no row."""
+    t = docs.select(key, tokens(F.col(text), chars).alias("_t")).select(key, F.size("_t").alias("n"), F.explode("_t").alias("token"))
+    return stored(t.groupBy(key, "n", "token").agg(F.count(F.lit(1)).alias("c")), "terms")
 
 
-def vectors(docs: DataFrame, key: str, text: str, vocab: DataFrame) -> DataFrame:
-    """key, token, w: term frequency among all tokens times idf, of length 1."""
-    d = docs.select(key, tokens(F.col(text)).alias("_t")).withColumn("_n", F.size("_t"))
-    long = d.select(key, "_n", F.explode("_t").alias("token")).groupBy(key, "_n", "token").agg(F.count(F.lit(1)).alias("_c")).join(vocab, "token")
-    raw = long.select(key, "token", (F.col("_c") / F.col("_n") * F.col("idf")).alias("_w"))
+def vocabulary(counted: DataFrame, n_docs: DataFrame, least: int = 5, share: float = 0.5, size: int | None = SIZE) -> DataFrame:
+    """token and idf of the `size` most frequent tokens that are in `least` documents or more and in at most `share` of them.
+    counted: rows of terms(); n_docs: one row with the number of documents, those without a token included."""
+    df = counted.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    kept = df.crossJoin(F.broadcast(n_docs.toDF("n_docs"))).where((F.col("df") >= least) & (F.col("df") <= F.floor(share * F.col("n_docs"))))  # one row
+    if size is not None:
+        kept = kept.orderBy(F.desc("df"), "token").limit(size)
+    return kept.select("token", F.log(F.col("n_docs") / F.col("df")).alias("idf"))
+
+
+def vectors(counted: DataFrame, key: str, vocab: DataFrame) -> DataFrame:
+    """key, token, w: term frequency among all tokens times idf, of length 1; stored."""
+    raw = counted.join(vocab, "token").select(key, "token", (F.col("c") / F.col("n") * F.col("idf")).alias("_w"))
     norm = raw.groupBy(F.col(key).alias("_k")).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_l"))
-    return raw.join(norm, raw[key] == F.col("_k")).where("_l > 0").select(key, "token", (F.col("_w") / F.col("_l")).alias("w"))
+    return stored(raw.join(norm, raw[key] == F.col("_k")).where("_l > 0").select(key, "token", (F.col("_w") / F.col("_l")).alias("w")), "vectors")
+
+
+def previous(docs: DataFrame, key: str, text: str, issuer: list[str], order: str) -> DataFrame:
+    """key and prev of each document with text whose predecessor among the issuer's documents has text too. Documents of a null
+    issuer form a chain of their own."""
+    has = F.col(text).isNotNull().alias("_has")  # texts stay out of the sort
+    chain = ranked(docs.select(key, *issuer, F.col(order).alias("_order"), has), issuer, "_order", key)
+    before = chain.select(F.col(key).alias("prev"), (F.col("_pos") + 1).alias("_next"), F.col("_has").alias("_had"), *[F.col(i).alias(f"_b_{i}") for i in issuer])
+    same = F.col("_pos") == F.col("_next")
+    for i in issuer:
+        same &= F.col(i).eqNullSafe(F.col(f"_b_{i}"))
+    return chain.join(before, same).where("_has and _had").select(key, "prev")
 
 
-def change(docs: DataFrame, key: str, text: str, issuer: list[str], order: str, vocab: DataFrame) -> DataFrame:
+def change(docs: DataFrame, key: str, text: str, issuer: list[str], order: str, counted: DataFrame, vocab: DataFrame) -> DataFrame:
     """key, prev and change = 1 - cosine with the previous document of the issuer; a document without text breaks the chain."""
-    has = F.col(text).isNotNull().alias("_has")  # texts stay out of the window's sort
-    chain = docs.select(key, *issuer, order if order != key else F.col(key).alias("_order"), has)
-    chain = chain.withColumn("prev", F.lag(F.struct(key, "_has")).over(Window.partitionBy(*issuer).orderBy(order if order != key else "_order", key)))
-    pairs = chain.where(F.col("_has") & F.col("prev")["_has"]).select(key, F.col("prev")[key].alias("prev"))
-    v = vectors(docs.where(F.col(text).isNotNull()), key, text, vocab)
-    a = pairs.join(v, key)
+    pairs = stored(previous(docs, key, text, issuer, order), "pairs")
+    v = vectors(counted, key, vocab)
     b = v.select(F.col(key).alias("_p"), F.col("token").alias("_t"), F.col("w").alias("_w"))
-    dots = a.join(b, (F.col("prev") == F.col("_p")) & (F.col("token") == F.col("_t"))).groupBy(F.col(key).alias("_k")).agg(F.sum(F.col("w") * F.col("_w")).alias("_dot"))
+    dots = pairs.join(v, key).join(b, (F.col("prev") == F.col("_p")) & (F.col("token") == F.col("_t"))).groupBy(F.col(key).alias("_k")).agg(F.sum(F.col("w") * F.col("_w")).alias("_dot"))
     return pairs.join(dots, pairs[key] == F.col("_k"), "left").select(key, "prev", (1 - F.coalesce("_dot", F.lit(0.0))).alias("change"))

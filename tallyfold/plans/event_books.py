@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import calendar, stats
-from ..operators import allocation, books, clusters, novelty
+from ..operators import allocation, books, clusters
 from ..operators.returns import ledger, window_returns
 from .standins import BASE, EXPLORE_TO, HOLDOUT_TO, Tables
-from .studies import _ENDS, _STALE, _TRAIL, HORIZONS, priced, query, returns, staled
+from .studies import _CHANGE, _ENDS, _STALE, _TRAIL, HORIZONS, changed, priced, query, returns, staled
 
 PARTS = ["explore", "holdout", "forward"]
 COST = 10
@@ -226,14 +226,15 @@ def trend_stats(t):
 # novelty, drift, staleness
 
 
-@query()
+@query(
+    BASE + ", " + _CHANGE + """, nq AS (SELECT g.accession, g.excess, substr(month, 1, 4) || 'Q' || CAST(ceil(CAST(substr(month, 6, 2) AS INTEGER) / 3.0) AS INTEGER) AS quarter, -round(change, 9) AS calm FROM good g JOIN ch ON ch.doc_id = g.accession WHERE horizon = 5),
+r AS (SELECT *, row_number() OVER (PARTITION BY quarter ORDER BY calm, accession) AS rn, count(*) OVER (PARTITION BY quarter) AS n FROM nq), q AS (SELECT *, CASE WHEN rn > n - n // 5 THEN 'long' WHEN rn <= n // 5 THEN 'short' END AS leg FROM r WHERE n >= 5)
+SELECT quarter, round((avg(excess) FILTER (leg = 'long') - 0.001 + avg(-excess) FILTER (leg = 'short') - 0.001) / 2, 6) AS book, round(avg(excess) FILTER (leg = 'long') - 0.001, 6) AS long_only FROM q WHERE leg IS NOT NULL GROUP BY quarter"""
+)
 def novelty_book(t):
     """Long the least changed documents, short the most changed, by quarter; a document stands for the order of its number."""
-    d = t.raw("documents").select("doc_id", "source", "text")
-    half = d.agg((F.max("doc_id") / 2).alias("half"))
-    c = novelty.change(d, "doc_id", "text", ["source"], "doc_id", novelty.vocabulary(d.crossJoin(F.broadcast(half)).where("doc_id <= half"), "text"))  # one row
-    x = priced(t, (5,)).join(c, F.col("accession") == F.col("doc_id")).withColumn("quarter", F.concat(F.substring("month", 1, 4), F.lit("Q"), F.quarter(F.to_date(F.concat("month", F.lit("-01"))))))
-    return books.monthly_book(x.withColumn("calm", -F.col("change")), ["quarter"], "calm", "excess", "accession", COST)
+    x = priced(t, (5,)).join(changed(t), F.col("accession") == F.col("doc_id")).withColumn("quarter", F.concat(F.substring("month", 1, 4), F.lit("Q"), F.quarter(F.to_date(F.concat("month", F.lit("-01"))))))
+    return books.monthly_book(x.withColumn("calm", -F.round("change", 9)), ["quarter"], "calm", "excess", "accession", COST)
 
 
 @query(

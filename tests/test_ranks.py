@@ -103,3 +103,33 @@ def test_group_sums_under_membership_by_brute_force(spark):
     assert got.keys() == want.keys() and all(abs(a - b) < 1e-9 for key in got for a, b in zip(got[key], want[key]))
     pairs = intervals.peers(e.join(s, "idx"), g.withColumnRenamed("grp", "sic3"), m).collect()
     assert {(r.accession, r.peer) for r in pairs} == {(k, n) for k, f, i, _ in events for n in names if n != f and groups[n] == groups.get(f) and inside(n, days[i])}
+
+
+def test_change_by_brute_force(spark):
+    import math
+
+    from tallyfold.operators import novelty
+
+    rng = random.Random(6)
+    words = ["alpha", "beta", "gamma", "delta", "the", "omega", "rare"]
+    docs = [(i, rng.choice(["s", "s", "t", None]), None if rng.random() < 0.1 else " ".join(rng.choice(words) for _ in range(rng.choice([0, 3, 30])))) for i in range(120)]
+    df = spark.createDataFrame(docs, "id long, src string, text string").repartition(5)
+    counted = novelty.terms(df.where("text is not null"), "id", "text", None)
+    vocab = novelty.vocabulary(counted, df.agg(F.count(F.lit(1))), 5, 0.9, None)
+    bag = {i: collections.Counter(w for w in (t or "").split() if w not in novelty.STOPWORDS) for i, _, t in docs}
+    df_ = collections.Counter(w for b in bag.values() for w in b)
+    idf = {w: math.log(len(docs) / k) for w, k in df_.items() if 5 <= k <= math.floor(0.9 * len(docs))}
+
+    def vector(i):
+        v = {w: c / bag[i].total() * idf[w] for w, c in bag[i].items() if w in idf}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / size for w, x in v.items()} if size else {}
+
+    want, last = {}, {}
+    for i, s, t in docs:
+        if s in last and t is not None and docs[last[s]][2] is not None:
+            a, b = vector(i), vector(last[s])
+            want[i] = (last[s], 1 - sum(x * b.get(w, 0) for w, x in a.items()))
+        last[s] = i
+    got = {r.id: (r.prev, r.change) for r in novelty.change(df, "id", "text", ["src"], "id", counted, vocab).collect()}
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-9 for k in got)
