@@ -37,13 +37,13 @@ REDACTIONS = (
     ("filename", r"(?i)\b[\w][\w.\-]{2,}\.(?:htm|html|txt|pdf|jpe?g|png|gif|xlsx?|zip)\b", "[ID]"),
     ("cik_label", r"(?i)\b(?:CIK|Central Index Key)[\s:#]*0*\d{4,10}\b", "[ID]"),
     ("file_number", r"(?i)\b(?:Commission File(?:\s+Number)?|File No\.?|IRS Employer)[\s:#]*[\w\-]+", "[ID]"),
-    ("irs", r"\b\d{2}-\d{7}\b", "[ID]"),
+    ("irs_number", r"\b\d{2}-\d{7}\b", "[ID]"),
     ("street", rf"(?i)\b(?:\d{{1,6}}|One|Two|Three|Four|Five|Six|Seven|Eight|Nine|Ten)\s+(?:[A-Z][\w.'-]+\s+){{0,4}}(?:{STREETS})\b\.?", "[ADDRESS]"),
     ("phone", r"\(?\b\d{3}\)?[\s.-]\d{3}[\s.-]\d{4}\b", "[PHONE]"),
 )
 LATE_REDACTIONS = (
     ("signature", r"/s/\s*[A-Z][\w.'-]*(?:\s+[A-Z][\w.'-]*){0,3}", "/s/ [PERSON]"),
-    ("honorific", r"\b(?:Mr|Mrs|Ms|Miss|Dr|Prof)\.?\s+[A-Z][\w.'-]*(?:\s+[A-Z][\w.'-]*){0,2}", "[PERSON]"),
+    ("honorific_name", r"\b(?:Mr|Mrs|Ms|Miss|Dr|Prof)\.?\s+[A-Z][\w.'-]*(?:\s+[A-Z][\w.'-]*){0,2}", "[PERSON]"),
     ("name_then_title", rf"\b{PERSON_NAME}\s*,\s*(?:our\s+|the\s+)?(?:{TITLES})\b", "[PERSON], [TITLE]"),
     ("title_then_name", rf"\b(?:{TITLES})\s*,?\s+{PERSON_NAME}\b", "[TITLE] [PERSON]"),
     ("exchange", phrases(EXCHANGES), "[EXCHANGE]"),
@@ -52,18 +52,18 @@ LATE_REDACTIONS = (
     ("dc", r"\bD\.?\s?C\.?(?=[\s,.]|$)", "[STATE]"),
     ("city_state", rf"\b[A-Z][\w.'-]+(?:\s+[A-Z][\w.'-]+){{0,2}},\s*(?:\[STATE\]|(?:{STATE_CODES})\b\.?)", "[ADDRESS], [STATE]"),
     ("quarter", r"(?i)\b(?:Q[1-4]|first|second|third|fourth)\s+quarter\s+(?:of\s+)?\d{4}\b", "the relevant quarter"),
-    ("fiscal", r"(?i)\b(?:fiscal|calendar)\s+(?:year\s+)?\d{4}\b", "the relevant fiscal year"),
-    ("long_date", rf"(?i)\b(?:{MONTHS})\.?\s+\d{{1,2}}(?:st|nd|rd|th)?,?\s+\d{{4}}\b", "[DATE]"),
-    ("dmy_date", rf"(?i)\b\d{{1,2}}\s+(?:{MONTHS})\.?,?\s+\d{{4}}\b", "[DATE]"),
-    ("month_year", rf"(?i)\b(?:{MONTHS})\.?\s+\d{{4}}\b", "[PERIOD]"),
-    ("numeric_date", r"\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b", "[DATE]"),
-    ("iso_date", r"\b\d{4}-\d{2}-\d{2}\b", "[DATE]"),
+    ("fiscal_year", r"(?i)\b(?:fiscal|calendar)\s+(?:year\s+)?\d{4}\b", "the relevant fiscal year"),
+    ("date_long", rf"(?i)\b(?:{MONTHS})\.?\s+\d{{1,2}}(?:st|nd|rd|th)?,?\s+\d{{4}}\b", "[DATE]"),
+    ("date_dmy", rf"(?i)\b\d{{1,2}}\s+(?:{MONTHS})\.?,?\s+\d{{4}}\b", "[DATE]"),
+    ("date_month_year", rf"(?i)\b(?:{MONTHS})\.?\s+\d{{4}}\b", "[PERIOD]"),
+    ("date_numeric", r"\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b", "[DATE]"),
+    ("date_iso", r"\b\d{4}-\d{2}-\d{2}\b", "[DATE]"),
     ("zip", r"\b\d{5}(?:-\d{4})?\b", "[ID]"),
-    ("year", r"\b(?:19[5-9]\d|20[0-4]\d)\b", "[PERIOD]"),
+    ("bare_year", r"\b(?:19[5-9]\d|20[0-4]\d)\b", "[PERIOD]"),
 )
 RUN = r"(\[(?:COMPANY|PERSON|DATE|ADDRESS|ID)\])[\s,]*(?:\[(?:COMPANY|PERSON|DATE|ADDRESS|ID)\][\s,]*)+"
 #: The label of each leak scan and the step whose pattern it takes.
-SCANS = (("date", "long_date"), ("date", "dmy_date"), ("date", "numeric_date"), ("date", "iso_date"), ("year", "year"), ("email", "email"), ("url", "url"), ("city_state", "city_state"), ("filename", "filename"), ("street", "street"))
+SCANS = (("date", "date_long"), ("date", "date_dmy"), ("date", "date_numeric"), ("date", "date_iso"), ("year", "bare_year"), ("email", "email"), ("url", "url"), ("city_state", "city_state"), ("filename", "filename"), ("street", "street"))
 NAME_SUFFIXES = (
     "inc", "incorporated", "corp", "corporation", "co", "company", "companies", "ltd", "limited", "plc", "lp", "llp", "llc", "holding", "holdings", "group", "the", "and", "of", "trust", "partners", "partnership", "sa", "nv", "ag", "class", "com", "new", "international", "industries", "enterprises",
 )
@@ -75,50 +75,63 @@ NOT_TICKERS = ("NYSE", "NASDAQ", "AMEX", "OTC", "NONE", "N/A", "NA", "NULL")
 
 
 def name_variants(name: Column) -> Column:
-    """The cleaned name, without company suffixes, its leading two words, and its first word if that has four letters; longest first."""
-    clean = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(name, F.lit("")), r"[^\p{L}\p{N}&\s-]", " "), r"\s+", " "))
-    words = F.filter(F.split(clean, " "), lambda w: (w != "") & ~F.lower(w).isin(*NAME_SUFFIXES))
+    """Surface forms of a name, longest first: with all but letters, digits, "_", "&", "/" and "-" as blanks, then without
+    company suffixes, its leading two words, and its first word if that has four letters and is no generic one."""
+    clean = F.regexp_replace(F.regexp_replace(F.coalesce(name, F.lit("")), r"(?U)[^\p{L}\p{N}_\s&/-]", " "), r"(?U)^\s+|\s+\z", "")
+    words = F.filter(F.split(clean, r"(?U)\s+"), lambda w: (w != "") & ~F.lower(F.regexp_replace(w, "^&+|&+$", "")).isin(*NAME_SUFFIXES))
     head = F.when((F.size(words) > 0) & (F.length(F.get(words, F.lit(0))) >= 4) & ~F.lower(F.get(words, F.lit(0))).isin(*TOO_GENERIC), F.get(words, F.lit(0)))
     bigram = F.when(F.size(words) >= 2, F.array_join(F.slice(words, 1, 2), " "))
-    all_ = F.array_distinct(F.array_compact(F.array(clean, F.array_join(words, " "), bigram, head)))
-    return F.array_sort(F.filter(all_, lambda v: F.length(v) >= 3), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
+    return longest_first(F.array_compact(F.array(clean, F.array_join(words, " "), bigram, head)))
 
 
-def replaced_names(text: Column, variants: Column, placeholder: str = "[COMPANY]") -> Column:
-    """Patterns made of a row's own values, quoted."""
-    return F.aggregate(variants, text, lambda t, v: F.regexp_replace(t, F.concat(F.lit(r"(?iU)\b\Q"), v, F.lit(r"\E\b")), F.lit(placeholder)))
+def longest_first(variants: Column) -> Column:
+    """Distinct variants of three characters or more."""
+    return F.array_sort(F.array_distinct(F.filter(variants, lambda v: F.length(v) >= 3)), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
 
 
-def redact(text: Column, variants: Column | None = None, ticker: Column | None = None, cik: Column | None = None) -> Column:
-    out = F.coalesce(text, F.lit(""))
-    for _, pattern, placeholder in REDACTIONS:
-        out = F.regexp_replace(out, "(?U)" + pattern, placeholder)
+def redaction(text: Column, variants: Column | None = None, ticker: Column | None = None, cik: Column | None = None) -> Column:
+    """Struct of text, redacted, and counts, a map from step to the number of its replacements for the steps that made any.
+
+    A fold: each step counts in, and replaces in, what the steps before it left, so nothing counts twice. A list of one binds
+    a step's result, or every step would compute all before it again and again."""
+    empty = F.struct(F.coalesce(text, F.lit("")).alias("text"), F.expr("cast(array() as array<struct<key:string,value:int>>)").alias("counts"))
+
+    def then(state: Column, key: str, pattern: Column, placeholder: str, when: Column | None = None) -> Column:
+        def step(s: Column) -> Column:
+            n = F.regexp_count(s["text"], pattern)
+            done = F.struct(F.regexp_replace(s["text"], pattern, F.lit(placeholder)).alias("text"), F.concat(s["counts"], F.array(F.struct(F.lit(key).alias("key"), n.alias("value")))).alias("counts"))
+            return done if when is None else F.when(when, done).otherwise(s)
+
+        return F.get(F.transform(F.array(state), step), F.lit(0))
+
+    quoted = lambda before, value, after=r"\b": F.concat(F.lit(f"(?U){before}\\Q"), value, F.lit("\\E" + after))
+    out = empty
+    for key, pattern, placeholder in REDACTIONS:
+        out = then(out, key, F.lit("(?U)" + pattern), placeholder)
     if variants is not None:
-        out = replaced_names(out, variants)
+        named = lambda s, v: F.struct(F.regexp_replace(s["text"], quoted(r"(?i)\b", v), F.lit("[COMPANY]")).alias("text"), F.concat(s["counts"], F.array(F.struct(F.lit("company_name").alias("key"), F.regexp_count(s["text"], quoted(r"(?i)\b", v)).alias("value")))).alias("counts"))
+        out = F.aggregate(F.coalesce(variants, F.expr("cast(array() as array<string>)")), out, named)
     if ticker is not None:
-        named = F.regexp_replace(out, F.concat(F.lit(r"(?U)\b(?:NYSE|NASDAQ|Nasdaq|AMEX)\s*:\s*\Q"), ticker, F.lit(r"\E\b")), F.lit("[TICKER]"))
-        out = F.when(F.length(ticker) >= 1, F.regexp_replace(named, F.concat(F.lit(r"(?U)\b\Q"), ticker, F.lit(r"\E\b")), F.lit("[TICKER]"))).otherwise(out)
+        given = F.coalesce(F.length(ticker) >= 1, F.lit(False))
+        out = then(out, "ticker_with_exchange", quoted(r"\b(?:NYSE|NASDAQ|Nasdaq|AMEX)\s*:\s*", ticker), "[TICKER]", given)
+        out = then(out, "ticker", quoted(r"\b", ticker), "[TICKER]", given)
     if cik is not None:
-        out = F.coalesce(F.regexp_replace(out, F.concat(F.lit(r"(?U)\b0*"), cik.cast("string"), F.lit(r"\b")), F.lit("[ID]")), out)
-    for _, pattern, placeholder in LATE_REDACTIONS:
-        out = F.regexp_replace(out, "(?U)" + pattern, placeholder)
-    out = F.regexp_replace(out, RUN, "$1 ")
-    return F.regexp_replace(F.regexp_replace(out, r"[ \t]{2,}", " "), r"(?U)^\s+|\s+\z", "")
+        out = then(out, "cik_number", F.concat(F.lit(r"(?U)\b0*"), cik.cast("string"), F.lit(r"\b")), "[ID]", cik.isNotNull())
+    for key, pattern, placeholder in LATE_REDACTIONS:
+        out = then(out, key, F.lit("(?U)" + pattern), placeholder)
 
+    def closed(s: Column) -> Column:
+        t = F.regexp_replace(F.regexp_replace(F.regexp_replace(s["text"], RUN, "$1 "), r"[ \t]{2,}", " "), r"(?U)^\s+|\s+\z", "")
+        made = F.filter(s["counts"], lambda c: c["value"] > 0)
+        keys = F.array_distinct(F.transform(made, lambda c: c["key"]))
+        total = lambda k: F.aggregate(F.filter(made, lambda c: c["key"] == k), F.lit(0), lambda n, c: n + c["value"])
+        return F.struct(t.alias("text"), F.map_from_arrays(keys, F.transform(keys, total)).alias("counts"))
 
-def redaction_counts(text: Column) -> Column:
-    """Struct of how often each pattern occurs in the text as given."""
-    return F.struct(*[F.regexp_count(F.coalesce(text, F.lit("")), F.lit("(?U)" + p)).alias(n) for n, p, _ in (*REDACTIONS, *LATE_REDACTIONS)])
+    return F.get(F.transform(F.array(out), closed), F.lit(0))
 
 
-def leaks(text: Column, variants: Column | None = None) -> Column:
-    """Sorted distinct labels 'kind:first match' of what a second scan, on patterns of its own, still finds."""
-    kinds = {"url": r"(?i)(?:https?://|www\.)\S+", "email": r"\S+@\S+\.\S+", "year": r"\b(?:19|20)\d{2}\b", "phone": r"\b\d{3}[-. ]\d{3}[-. ]\d{4}\b"}
-    found = [F.when(F.regexp_like(text, F.lit(p)), F.concat(F.lit(f"{k}:"), F.substring(F.regexp_extract(text, p, 0), 1, 40))) for k, p in kinds.items()]
-    out = F.array_compact(F.array(*found))
-    if variants is not None:
-        out = F.concat(out, F.transform(F.filter(variants, lambda v: F.contains(F.lower(text), F.lower(v))), lambda v: F.concat(F.lit("company:"), F.substring(v, 1, 40))))
-    return F.array_sort(F.array_distinct(out))
+def redact(text: Column, variants: Column | None = None, ticker: Column | None = None, cik: Column | None = None) -> Column:
+    return redaction(text, variants, ticker, cik)["text"]
 
 
 def find_leaks(text: Column, variants: Column | None = None, ticker: Column | None = None, cik: Column | None = None) -> Column:

@@ -360,13 +360,33 @@ def lexicon_scores(t):
 
 @query()
 def redacted_documents(t):
-    d = t.raw("documents").select("doc_id", text.redact(F.col("text")).alias("redacted"), text.redaction_counts(F.col("text")).alias("c"))
-    return d.select("doc_id", F.length("redacted").alias("n_chars"), "c.*", F.array_join(text.find_leaks(F.col("redacted")), "|").alias("leaks"))
+    r = t.raw("documents").select("doc_id", text.redaction(F.col("text")).alias("r")).select("doc_id", "r.*")
+    counts = F.array_sort(F.transform(F.map_entries("counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))))
+    return r.select("doc_id", F.length("text").alias("n_chars"), F.md5("text").alias("digest"), F.array_join(counts, ",").alias("counts"), F.array_join(text.find_leaks(F.col("text")), "|").alias("leaks"))
 
 
 @query("SELECT doc_id, len(regexp_extract_all(text, '\\b\\d{2}-\\d{7}\\b')) AS irs, len(regexp_extract_all(text, '\\b(?:19|20)\\d{2}-\\d{2}-\\d{2}\\b')) AS iso_date FROM documents")
 def redaction_tallies(t):
-    return t.raw("documents").select("doc_id", "text", text.redaction_counts(F.col("text")).alias("c")).select("doc_id", F.col("c.irs").cast("long").alias("irs"), F.regexp_count("text", F.lit(r"(?U)\b(?:19|20)\d{2}-\d{2}-\d{2}\b")).cast("long").alias("iso_date"))
+    """Numbers and dates in the texts as given, before any step."""
+    patterns = {n: "(?U)" + p for n, p, _ in text.REDACTIONS}
+    return t.raw("documents").select("doc_id", F.regexp_count("text", F.lit(patterns["irs_number"])).cast("long").alias("irs"), F.regexp_count("text", F.lit(r"(?U)\b(?:19|20)\d{2}-\d{2}-\d{2}\b")).cast("long").alias("iso_date"))
+
+
+_NAMED = "WITH n AS (SELECT c_custkey, c_name, 'Acme_' || c_custkey || '/North & Sons Holdings' AS name FROM customer) "
+
+
+@query(
+    _NAMED + """SELECT c_custkey, CAST(3 AS INTEGER) AS company_name, CAST(1 AS INTEGER) AS url, CAST(NULL AS INTEGER) AS date_iso, CAST(1 AS INTEGER) AS date_numeric,
+'[COMPANY] rose. [COMPANY], as [COMPANY] said on [DATE]: [ID] is what we saw.' AS redacted FROM n"""
+)
+def redacted_names(t):
+    """Counts of what each step replaced in texts that name their company in full and in part: the date inside the address
+    belongs to the address. The second name is followed by a mark that ends the first step's address."""
+    k = F.col("c_custkey").cast("string")
+    name = F.concat(F.lit("Acme_"), k, F.lit("/North & Sons Holdings"))
+    said = F.concat(name, F.lit(" rose. Acme_"), k, F.lit("/North & Sons, as ACME_"), k, F.lit("/NORTH said on 1/5/2018: https://x.example/2018-01-05/Acme_"), k, F.lit(" is what we saw."))
+    r = t.raw("customer").select("c_custkey", text.redaction(said, text.name_variants(name)).alias("r"))
+    return r.select("c_custkey", *[F.col("r.counts")[c].alias(c) for c in ("company_name", "url", "date_iso", "date_numeric")], F.col("r.text").alias("redacted"))
 
 
 @query("SELECT event_type, CAST(json_extract(props, '$.k') AS INTEGER) AS k, count(*) AS n FROM events GROUP BY ALL")

@@ -120,8 +120,8 @@ def test_text(spark):
     raw = "Acme Corp (NYSE: ACM) on January 5, 2018 wrote to bob@acme.com, see https://acme.com/x. Call (212) 555-1234. Mr. John Smith\n/s/ John Smith"
     r = spark.createDataFrame([(raw, "Acme Corp", "ACM")], "t string, n string, k string")
     v = text.name_variants(F.col("n"))
-    out = r.select(v.alias("v"), text.redact(F.col("t"), v, F.col("k")).alias("x"), text.leaks(F.col("t"), v).alias("l0"), text.leaks(text.redact(F.col("t"), v, F.col("k")), v).alias("l1")).first()
-    assert out.v == ["Acme Corp", "Acme"] and out.l1 == [] and len(out.l0) == 5
+    out = r.select(v.alias("v"), text.redact(F.col("t"), v, F.col("k")).alias("x"), text.find_leaks(F.col("t"), v, F.col("k")).alias("l0"), text.find_leaks(text.redact(F.col("t"), v, F.col("k")), v, F.col("k")).alias("l1")).first()
+    assert out.v == ["Acme Corp", "Acme"] and out.l1 == [] and len(out.l0) >= 5
     assert not any(w in out.x for w in ("Acme", "2018", "Smith", "555", "bob"))
     one = spark.range(1).select(
         text.primary_item(F.lit(" , 2.02,9.01")).alias("a"), text.primary_item(F.lit(" ,")).alias("b"), text.clean_ticker(F.lit("NYSE: BRK.B")).alias("c"), text.item_list(F.lit("9.01,2.02, 9.01")).alias("d"),

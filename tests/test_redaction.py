@@ -28,3 +28,56 @@ def test_redaction_steps_and_scans(spark):
 def test_generic_heads_stay(spark, name, want):
     got = spark.range(1).select(text.name_variants(F.lit(name)).alias("v")).first().v
     assert set(want) <= set(got) and "General" not in got
+
+
+@pytest.mark.parametrize(
+    "name,want",
+    [
+        ("BANK OF AMERICA CORP /DE/", ["BANK OF AMERICA CORP /DE/", "BANK AMERICA /DE/", "BANK AMERICA"]), ("Smith/Jones Inc", ["Smith/Jones Inc", "Smith/Jones"]), ("A_B Widgets, Inc.", ["A_B Widgets  Inc", "A_B Widgets"]),
+        ("Wells Fargo & Company", ["Wells Fargo & Company", "Wells Fargo &", "Wells Fargo", "Wells"]), ("", []), (None, []), ("The Co", ["The Co"]), ("IBM", ["IBM"]), ("Élan Ärzte-Haus plc", ["Élan Ärzte-Haus plc", "Élan Ärzte-Haus", "Élan"]),
+    ],
+)
+def test_names_keep_their_marks(spark, name, want):
+    assert spark.range(1).select(text.name_variants(F.lit(name).cast("string")).alias("v")).first().v == want
+
+
+def by_hand(raw, variants=(), ticker="", cik=None):
+    """The same steps one after the other in another regular expression engine."""
+    import collections
+    import re
+
+    counts, out = collections.Counter(), raw or ""
+
+    def sub(key, pattern, placeholder):
+        nonlocal out
+        flags = re.I if pattern.startswith("(?i)") else 0
+        out, n = re.subn(pattern.removeprefix("(?i)").replace(r"\z", r"\Z"), lambda m: placeholder, out, flags=flags)
+        if n:
+            counts[key] += n
+
+    for step in text.REDACTIONS:
+        sub(*step)
+    for v in variants:
+        sub("company_name", rf"(?i)\b{re.escape(v)}\b", "[COMPANY]")
+    if ticker:
+        sub("ticker_with_exchange", rf"\b(?:NYSE|NASDAQ|Nasdaq|AMEX)\s*:\s*{re.escape(ticker)}\b", "[TICKER]")
+        sub("ticker", rf"\b{re.escape(ticker)}\b", "[TICKER]")
+    if cik is not None:
+        sub("cik_number", rf"\b0*{cik}\b", "[ID]")
+    for step in text.LATE_REDACTIONS:
+        sub(*step)
+    out = re.sub(text.RUN, lambda m: m[1] + " ", out)
+    return re.sub(r"[ \t]{2,}", " ", out).strip(), dict(counts)
+
+
+def test_counts_are_of_replacements(spark, sf_dir):
+    special = [
+        "see https://acme.com/2018-01-05/a and 2018-02-01", "Acme Corp (NYSE: ACM) and ACME; ACM rose. CIK 0000320193, number 00320193", "Mr. John Smith of KPMG, Los Gatos, California on Jan 5, 2018, Q1 quarter 2018; /s/ Jane Roe", None, "", "Dr. A at 12 Long Lake Drive, Voorhees, NJ 08043 (212) 555-1234",
+    ]
+    rows = [(i, t) for i, t in enumerate(special)] + [(100 + r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").where("length(text) < 5000").select("doc_id", "text").collect()]
+    variants = ["Acme Corp", "Acme"]
+    v = F.array(*[F.lit(x) for x in variants])
+    got = {r.i: (r.r.text, r.r.counts) for r in spark.createDataFrame(rows, "i long, t string").select("i", text.redaction(F.col("t"), v, F.lit("ACM"), F.lit(320193)).alias("r")).collect()}
+    for i, t in rows:
+        assert got[i] == by_hand(t, variants, "ACM", 320193), t
+    assert got[0][1] == {"url": 1, "date_iso": 1} and got[1][1]["company_name"] == 2
