@@ -186,6 +186,7 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = PERCENT, least_w
     h = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))), 256), 1, 8), 16, 10).cast("double")
     noise = F.floor(-1000.0 * F.log(-F.log((h + 0.5) / 4294967296.0)))
     w = w.select("doc_id", "n_features", "weight", (F.col("weight") + noise).alias("score"), (F.col("n_words") >= least_words).alias("able"))
+    w = stored(w, "weights")  # sorting by ranges reads its input twice
     placed = numbered(w, [F.desc("able"), F.desc("score"), F.asc_nulls_last("doc_id")], "scores")
     drawn = placed.where("able").count() * percent // 100
     return placed.select("doc_id", "n_features", "weight", "score", F.when(F.col("able") & (F.col("pos") < drawn), F.col("pos") + 1).alias("rank"))
