@@ -234,12 +234,15 @@ def trailing_windows(t):
     return clusters.trailing(t.purchases())
 
 
-@query(
+_CLUSTERS_SQL = (
     _TRAIL.replace("WITH p", "WITH RECURSIVE p") + """, cand AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY day, row_no) AS rn FROM tr WHERE n_owners >= 3 AND total_value >= 500000),
 f AS (SELECT ticker, rn, day, row_no, n_owners, total_value, true AS fires, day AS last FROM cand WHERE rn = 1 UNION ALL
  SELECT c.ticker, c.rn, c.day, c.row_no, c.n_owners, c.total_value, c.day - f.last >= 30, CASE WHEN c.day - f.last >= 30 THEN c.day ELSE f.last END FROM f JOIN cand c ON c.ticker = f.ticker AND c.rn = f.rn + 1)
 SELECT ticker, day, row_no, n_owners, round(total_value, 6) AS total_value FROM f WHERE fires"""
 )
+
+
+@query(_CLUSTERS_SQL)
 def purchase_clusters(t):
     return clusters.cluster_events(t.purchases(), 3, 500_000.0)
 

@@ -22,11 +22,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    _made.append(f"{shared_dir(spark)}/tallyfold-{name}-{uuid.uuid4().hex[:12]}")
+    return _made[-1]
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written once as Parquet and read back: its lineage ends here."""
-    path = f"{shared_dir(df.sparkSession)}/tallyfold-{name}-{uuid.uuid4().hex[:12]}"
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    _made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
