@@ -201,3 +201,19 @@ def test_suffix_order_and_prefixes():
         data = bytes(rng.choice(b"ab") for _ in range(n)) * 2
         order = suffix.suffix_order(np.frombuffer(data, np.uint8))
         assert order.tolist() == sorted(range(len(data)), key=lambda i: (*data[i:], 256))
+
+
+def test_many_removed_lines_take_time_in_proportion(spark):
+    import time
+
+    def removed(n):
+        text = "\n".join(f"common line with number {i:06d}" for i in range(n))
+        df = frame(spark, [(k, f"own {k}\n{text}\n\nend {k}", f"s{k}") for k in range(6)]).withColumn("gone", F.sequence(F.lit(1), F.lit(n)))
+        start = time.time()
+        assert [r.t for r in df.select(lines.kept_text(F.col("text"), F.col("gone")).alias("t")).collect()] == [f"own {k}\n\nend {k}" for k in range(6)]
+        return time.time() - start
+
+    removed(10)
+    assert removed(40_000) < 4 * removed(10_000) + 10
+    odd = spark.createDataFrame([("a\nb\nc\n", [3, 0, 2]), ("a", [0]), ("", [0]), ("", None), ("a\n\nb", [1]), ("a\nb", [])], "t string, g array<int>")
+    assert [r.k for r in odd.select(lines.kept_text(F.col("t"), F.col("g")).alias("k")).collect()] == ["b", "", "", "", "a\nb", "a\nb"]
