@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PENNY = 5.0
+#: Why an event has no return, in the order in which the reasons are tried.
+REASONS = (
+    "prediction_is_null", "exit_beyond_calendar", "no_price_coverage_for_ticker", "no_prior_close", "prior_close_below_5_usd", "security_did_not_trade_on_entry", "missing_price_in_window", "missing_benchmark_in_window",
+)
 
 
 def with_factor(bars: DataFrame) -> DataFrame:

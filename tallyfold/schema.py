@@ -14,6 +14,15 @@ TABLES = {
     "evaluations": "prediction_id long not null, horizon int not null, entry_date date, exit_date date, raw_return double, excess_return double, cost_bps double not null, net_return double",
 }
 
+#: Keys, foreign keys (column to parent table and its column), and tables whose rows are never changed.
+KEYS = {"filings": ["accession_no"], "universe": ["ticker", "start_date"], "prices": ["ticker", "day"], "predictions": ["id"], "evaluations": ["prediction_id", "horizon", "cost_bps"]}
+PARENTS = {"predictions": {"accession_no": ("filings", "accession_no")}, "evaluations": {"prediction_id": ("predictions", "id")}}
+IMMUTABLE = {"predictions"}
+
+
+def required(table: str) -> list[str]:
+    return [c.split()[0] for c in TABLES[table].split(", ") if c.endswith("not null")]
+
 
 def rules(table: str) -> dict[str, Column]:
     """Name and condition of every check of a table; a null condition passes, as in SQL."""
@@ -29,17 +38,15 @@ def rules(table: str) -> dict[str, Column]:
 
 
 def violations(df: DataFrame, table: str) -> DataFrame:
-    """df with the name of the first rule that each row breaks, null if it keeps all."""
+    """df with the name of the first rule that each row breaks, null if it keeps all. First come the columns that may not be null."""
     broken = F.lit(None).cast("string")
     for name, ok in reversed(list(rules(table).items())):
         broken = F.when(F.coalesce(~ok, F.lit(False)), name).otherwise(broken)
+    for c in reversed(required(table)):
+        broken = F.when(F.col(c).isNull(), f"{c}_is_null").otherwise(broken) if c in df.columns else broken
     return df.withColumn("violation", broken)
 
 
-def orphans(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
-    return child.join(parent.select(key).distinct(), key, "left_anti")
-
-
 def checked_version(found: int) -> int:
     if found > VERSION:
         raise ValueError(f"tables have version {found}, newer than {VERSION}")

@@ -7,7 +7,7 @@ import json
 import subprocess
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.intervals import append_new, first_by
@@ -62,6 +62,22 @@ class RunManifest:
             if examples:
                 self.content["examples"].setdefault(r["reason"], list(r[examples] or []))
 
+    def written(self, df: DataFrame, path: str, reason: str, reasons: list[str]) -> None:
+        """Writes the rows without a reason, and counts what was written and what each reason kept out in the same pass: the
+        counts ride along as observed metrics of the one job. A reason that is not listed counts as "other"."""
+        seen = Observation()
+        listed = {f"r{i}": F.count_if(F.col(reason) == r) for i, r in enumerate(reasons)}
+        metrics = {**listed, "written": F.count_if(F.col(reason).isNull()), "every": F.count(F.lit(1))}
+        df.observe(seen, *[m.alias(k) for k, m in metrics.items()]).where(F.col(reason).isNull()).drop(reason).write.mode("overwrite").parquet(path)
+        got = seen.get
+        self.count("read", got["every"])
+        self.count("written", got["written"])
+        kept_out = {r: got[f"r{i}"] for i, r in enumerate(reasons)}
+        kept_out["other"] = got["every"] - got["written"] - sum(kept_out.values())
+        for r, n in kept_out.items():
+            if n:
+                self.content["exclusions"][r] = self.content["exclusions"].get(r, 0) + n
+
     def __enter__(self) -> RunManifest:
         self.content["started_at"] = datetime.datetime.now(datetime.UTC).isoformat()
         return self

@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from tallyfold.functions import text
 from tallyfold.operators import audit, clusters
-from tallyfold.plans import event_books, ingest_checks, pages
+from tallyfold.plans import event_books, ingest_checks, keyed, live, pages, peers, studies
 from tallyfold.sources import readers, sinks
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-OWN = sorted({f.__name__ for m in (event_books, ingest_checks, pages) for f in vars(m).values() if callable(f) and getattr(f, "__module__", "") == m.__name__} & set(__spark_entry__.oracle_sql()))
+OWN = sorted({f.__name__ for m in (event_books, ingest_checks, keyed, live, pages, peers, studies) for f in vars(m).values() if callable(f) and getattr(f, "__module__", "") == m.__name__} & set(__spark_entry__.oracle_sql()))
 
 
 @pytest.fixture(scope="module")
