@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import calendar, stats
 from ..operators import allocation, books, clusters
 from ..operators.returns import ledger, window_returns
+from ..storage import stored
 from .standins import BASE, EXPLORE_TO, HOLDOUT_TO, Tables
 from .studies import _CHANGE, _ENDS, _STALE, _TRAIL, HORIZONS, changed, priced, query, returns, staled
 
@@ -250,6 +251,44 @@ def drift_stats(t):
     return stats.book_stats(b.withColumn("r", F.col("book") - F.col("cost_bps") / 10_000.0), ["cost_bps"], "month", "r")
 
 
+HOLDS, PRIMARY = (5, 10, 20), 20
+_HELD = _STALE.replace("entry_idx + 5", "entry_idx + hold").replace("SELECT se.*, (a.adj_open", "SELECT se.*, hold, (a.adj_open").replace("AS post FROM se\n", f"AS post FROM se CROSS JOIN (SELECT unnest({list(HOLDS)}) AS hold)\n")
+
+
+@query(
+    BASE + _HELD + """, su AS (SELECT hold, accession, pre AS surprise, post, strftime(s.day, '%Y-%m') AS month FROM (SELECT * EXCLUDE (day) FROM fr WHERE bucket = 'earnings' AND part = 'explore') f JOIN sessions s ON s.idx = entry_idx),
+r AS (SELECT *, row_number() OVER (PARTITION BY hold, month ORDER BY surprise, accession) AS rn, count(*) OVER (PARTITION BY hold, month) AS n FROM su),
+m AS (SELECT hold, month, avg(post) FILTER (rn > n - n // 5) AS lo, avg(-post) FILTER (rn <= n // 5) AS sh FROM r WHERE n >= 5 GROUP BY ALL),
+c AS (SELECT hold, c.cost_bps, month, (lo + sh) / 2 - c.cost_bps / 10000.0 AS ls, lo - c.cost_bps / 10000.0 AS lo FROM m, (SELECT unnest([0, 10, 25]) AS cost_bps) c),
+g AS (SELECT CASE WHEN cost_bps = 10 THEN 'book' END AS book, CASE WHEN hold = 20 THEN 'cost' END AS cost, hold, cost_bps, count(*) AS n, avg(ls) AS ls_mean, avg(lo) AS lo_mean,
+ CASE WHEN count(*) > 1 AND stddev_samp(ls) > 0 THEN avg(ls) / stddev_samp(ls) * sqrt(12) ELSE 0 END AS ls_sharpe, CASE WHEN count(*) > 1 AND stddev_samp(lo) > 0 THEN avg(lo) / stddev_samp(lo) * sqrt(12) ELSE 0 END AS lo_sharpe FROM c GROUP BY hold, cost_bps),
+y AS (SELECT substr(month, 1, 4) AS year, count(*) AS n, avg(lo) AS lo_mean, CASE WHEN count(*) > 1 AND stddev_samp(lo) > 0 THEN avg(lo) / stddev_samp(lo) * sqrt(12) ELSE 0 END AS lo_sharpe FROM c WHERE hold = 20 AND cost_bps = 10 GROUP BY 1)
+SELECT 'books' AS section, CAST(hold AS VARCHAR) AS of, n, round(ls_mean, 6) AS ls_mean, round(ls_sharpe, 6) AS ls_sharpe, round(lo_mean, 6) AS lo_mean, round(lo_sharpe, 6) AS lo_sharpe FROM g WHERE book IS NOT NULL
+UNION ALL SELECT 'costs', CAST(cost_bps AS VARCHAR), n, round(ls_mean, 6), round(ls_sharpe, 6), round(lo_mean, 6), round(lo_sharpe, 6) FROM g WHERE cost IS NOT NULL
+UNION ALL SELECT 'years', year, n, NULL, NULL, round(lo_mean, 6), round(lo_sharpe, 6) FROM y"""
+)
+def drift_robustness(t):
+    """On the exploration years: the long-short and the long-only book by holding period at the base cost, by cost at the primary
+    one, and the long-only book by year. Each book is made once, before costs."""
+    s = t.sessions().select(F.col("idx").alias("_i"), F.date_format("day", "yyyy-MM").alias("month"))
+    e = None
+    for hold in HOLDS:
+        h = staled(t, hold).where("bucket = 'earnings' and part = 'explore'").select("accession", "entry_idx", "pre", "post", F.lit(hold).alias("hold"))
+        e = h if e is None else e.unionByName(h)
+    b = stored(books.monthly_book(e.join(s, F.col("entry_idx") == F.col("_i")), ["hold", "month"], "pre", "post", "accession", 0), "books")
+    c = b.withColumn("cost_bps", F.explode(F.array(*[F.lit(k) for k in (0, 10, 25)]))).withColumns({"ls": F.col("book") - F.col("cost_bps") / 10_000.0, "lo": F.col("long_only") - F.col("cost_bps") / 10_000.0})
+
+    def part(rows: DataFrame, section: str, of: Column, both: bool = True) -> DataFrame:
+        mean = lambda x: [F.avg(x).alias(f"{x}_mean"), F.when((F.count(x) > 1) & (F.stddev_samp(x) > 0), F.avg(x) / F.stddev_samp(x) * F.sqrt(F.lit(12.0))).otherwise(0.0).alias(f"{x}_sharpe")]
+        g = rows.groupBy(of.cast("string").alias("of")).agg(F.count(F.lit(1)).alias("n"), *mean("ls"), *mean("lo"))
+        none = F.lit(None).cast("double")
+        return g.select(F.lit(section).alias("section"), "of", "n", *[(F.col(x) if both else none).alias(x) for x in ("ls_mean", "ls_sharpe")], "lo_mean", "lo_sharpe")
+
+    base = c.where(F.col("cost_bps") == COST)
+    primary = F.col("hold") == PRIMARY
+    return part(base, "books", F.col("hold")).unionByName(part(c.where(primary), "costs", F.col("cost_bps"))).unionByName(part(base.where(primary), "years", F.substring("month", 1, 4), False))
+
+
 _REASONS = """, pd AS (SELECT *, CASE WHEN accession % 13 = 0 THEN NULL WHEN accession % 17 = 0 THEN 'March 3' WHEN accession % 19 = 0 THEN strftime(day + 9, '%Y-%m-%d') ELSE strftime(day - 7, '%Y-%m-%dT00:00') END AS period FROM ev),
 dd AS (SELECT CAST(unnest(generate_series((SELECT min(day) FROM sessions), (SELECT max(day) FROM sessions), INTERVAL 1 DAY)) AS DATE) AS d), onx AS (SELECT d, (SELECT min(idx) FROM sessions WHERE day >= d) AS on_idx FROM dd),
 se AS (SELECT pd.*, TRY_CAST(substr(period, 1, 10) AS DATE) AS event_day, on_idx - 1 AS pre_idx FROM pd LEFT JOIN onx ON d = TRY_CAST(substr(period, 1, 10) AS DATE)),

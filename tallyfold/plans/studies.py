@@ -134,13 +134,13 @@ def event_type_contrast(t):
     return w.withColumn("p", stats.two_sided(F.col("t")))
 
 
-def staled(t):
-    """Moves before and after entry, in excess: from the session before the event's day, seven days back, to the entry's open, and from there five sessions on."""
+def staled(t, hold: int = 5):
+    """Moves before and after entry, in excess: from the session before the event's day, seven days back, to the entry's open, and from there `hold` sessions on."""
     e = t.filings().withColumn("event_day", F.date_sub("day", 7))
     d = calendar.day_table(t.sessions()).select(F.col("day").alias("_d"), "on_idx")
     e = e.join(d, e.event_day == F.col("_d"), "left").withColumn("pre_idx", F.col("on_idx") - 1).drop("_d", "on_idx")
     b = t.bars_i().withColumn("one", F.lit(1))
-    e = e.withColumn("bench_t", F.lit("ALL")).withColumn("exit_idx", F.col("entry_idx") + 5)
+    e = e.withColumn("bench_t", F.lit("ALL")).withColumn("exit_idx", F.col("entry_idx") + hold)
 
     def pre(df, ticker, out):
         p = b.select(F.col("ticker").alias("_t"), F.col("idx").alias("_i"), F.col("adj_close").alias("_a"))
