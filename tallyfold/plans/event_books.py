@@ -46,18 +46,33 @@ gb AS (SELECT good.*, CASE WHEN buried THEN 'buried' ELSE 'control' END AS grp F
 """
 
 
-def buried(t: Tables) -> DataFrame:
-    """Priced events with grp: buried where the bucket of the acceptance is weekend or preholiday, else control."""
+def bucketed(t: Tables) -> DataFrame:
+    """Priced events with the bucket of their acceptance: weekend, preholiday or control."""
     at = t.filings().select(F.col("accession").alias("_a"), F.expr("cast(day as timestamp) + make_interval(0, 0, 0, 0, accession % 24)").alias("at"))
-    b = calendar.acceptance_bucket(at, t.sessions(), "at", "UTC").select("_a", F.when(F.col("bucket") == "control", "control").otherwise("buried").alias("grp"))
+    b = calendar.acceptance_bucket(at, t.sessions(), "at", "UTC").select("_a", F.col("bucket").alias("grp"))
     return priced(t).join(b, F.col("accession") == F.col("_a")).drop("_a")
 
 
+def buried(t: Tables) -> DataFrame:
+    """Priced events with grp: buried where the bucket of the acceptance is weekend or preholiday, else control."""
+    return bucketed(t).withColumn("grp", F.when(F.col("grp") == "control", "control").otherwise("buried"))
+
+
 @query(BASE + _BURIED + f"SELECT c.part, c.horizon, g.grp, {bps_sql()} FROM ({_CELLS}) c CROSS JOIN (SELECT unnest(['buried', 'control']) AS grp) g LEFT JOIN gb ON gb.part = c.part AND gb.horizon = c.horizon AND gb.grp = g.grp GROUP BY ALL")
 def timing_study(t):
     return stats.every_cell(buried(t).select("part", "horizon", "grp", "excess"), {"part": PARTS, "horizon": list(HORIZONS), "grp": ["buried", "control"]}, "excess", stats.bps_summary("excess"))
 
 
+@query(
+    BASE + _BURIED + f""", bk AS (SELECT accession, CASE WHEN isodow(day) >= 6 OR (isodow(day) = 5 AND late) THEN 'weekend' WHEN buried THEN 'preholiday' ELSE 'control' END AS grp FROM tn JOIN bu USING (accession)),
+g3 AS (SELECT good.part, good.horizon, good.excess, bk.grp FROM good JOIN bk USING (accession))
+SELECT c.part, c.horizon, g.grp, {bps_sql()} FROM ({_CELLS}) c CROSS JOIN (SELECT unnest(['weekend', 'preholiday', 'control']) AS grp) g LEFT JOIN g3 ON g3.part = c.part AND g3.horizon = c.horizon AND g3.grp = g.grp GROUP BY ALL"""
+)
+def timing_by_bucket(t):
+    """Weekends and days before holidays apart."""
+    return stats.every_cell(bucketed(t).select("part", "horizon", "grp", "excess"), {"part": PARTS, "horizon": list(HORIZONS), "grp": ["weekend", "preholiday", "control"]}, "excess", stats.bps_summary("excess"))
+
+
 @query(
     BASE + _BURIED + """, w AS (SELECT part, horizon, count(a) AS na, count(b) AS nb, avg(a) AS ma, avg(b) AS mb, var_samp(a) AS va, var_samp(b) AS vb FROM (SELECT part, horizon, CASE WHEN grp = 'buried' THEN excess END AS a, CASE WHEN grp = 'control' THEN excess END AS b FROM gb) GROUP BY ALL),
 tt AS (SELECT *, CASE WHEN na > 1 AND nb > 1 AND va / na + vb / nb > 0 THEN (ma - mb) / sqrt(va / na + vb / nb) ELSE 0 END AS t FROM w), k AS (SELECT *, 1 / (1 + 0.2316419 * abs(t)) AS k FROM tt)
