@@ -28,9 +28,11 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -233,75 +235,95 @@ def decoded(blocks: list[bytes]) -> np.ndarray:
     return np.ascontiguousarray(out.T)
 
 
-def crc_shift(crc: int, n: int) -> int:
-    """The CRC-32 register after n more zero bytes: crc times x ** (8 n) modulo the polynomial, bits reflected."""
+def crc_powers(n: int = 44) -> np.ndarray:
+    """[k, byte, value]: what a byte of a CRC-32 becomes after 2 ** k more zero bytes."""
+    step = np.array([zlib.crc32(bytes([i])) for i in range(256)], np.uint32)
+    step ^= step[0]  # linear: without the inversions
+    byte = np.arange(256, dtype=np.uint32) << np.arange(0, 32, 8, dtype=np.uint32)[:, None]
+    out = [step[byte & 255] ^ byte >> 8]
+    for _ in range(n - 1):
+        out.append(shifted_once(out[-1], out[-1]))
+    return np.array(out)
 
-    def times(a: int, b: int) -> int:
-        out = 0
-        for i in range(31, -1, -1):
-            if a >> i & 1:
-                out ^= b
-            b = b >> 1 ^ (0xEDB88320 if b & 1 else 0)
-        return out
 
-    power, square, n = 1 << 31, 1 << 23, n  # x ** 0 and x ** 8
-    while n:
-        if n & 1:
-            power = times(square, power)
-        square, n = times(square, square), n >> 1
-    return times(power, crc)
+def shifted_once(power: np.ndarray, crc: np.ndarray) -> np.ndarray:
+    return power[0][crc & 255] ^ power[1][crc >> 8 & 255] ^ power[2][crc >> 16 & 255] ^ power[3][crc >> 24]
 
 
-def crc_joined(first: int, second: int, n: int) -> int:
-    """CRC-32 of two byte strings' concatenation from theirs; n: bytes of the second."""
-    return crc_shift(first, n) ^ second
+POWERS = crc_powers()
 
 
-#: How the vocabulary's pattern cuts a chunk that is all ASCII (fixed values: its contractions).
-PART = re.compile(rb"'(?:[smdtSMDT]|[rR][eE]|[vV][eE]|[lL][lL])|[a-zA-Z]+|[0-9]|[\x00-\x08\x0e-\x1f!-/:-@\[-`{-\x7f]+")
+def crc_shift(crc: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """CRC-32s after n more zero bytes each. The CRC-32 of a concatenation is the sum (xor) of its parts' CRC-32s, each shifted
+    by the bytes behind its part."""
+    crc = crc.astype(np.uint32)
+    for k in range(int(n.max(initial=0)).bit_length()):
+        crc = np.where(n >> k & 1, shifted_once(POWERS[k], crc), crc)
+    return crc
+
+
+#: Texts of ASCII and the Latin-1 letters beyond it: these have one form, their lower case is a letter for a letter, and this is
+#: how the vocabulary's pattern cuts them (fixed values: its contractions).
+SIMPLE = r"^[\x00-\x7fÀ-ÖØ-öø-ÿ]*$"
+PART = r"('(?:[smdt]|re|ve|ll)|[a-zà-öø-ÿß]+|[0-9]|[\x00-\x08\x0e-\x1f!-/:-@\[-`{-\x7f]+)"
 _encoders: dict = {}
 
 
 class Encoder:
-    """The tokenizer with a memory of chunks, the text between blanks, and of their parts. A chunk in ASCII is the sum of its
-    parts; one with other characters, or that may hold a special token's name, is left whole for the tokenizer."""
+    """The tokenizer with a memory of parts of texts. Simple texts are cut into the pattern's parts, in lower case, which skip
+    the tokenizer's normaliser and pattern; any other text, or one that may hold a special token's name, is cut at blanks, and
+    the chunks are left to the tokenizer as a whole."""
 
     def __init__(self, vocabulary: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         if "/" not in vocabulary:
             import public_tokenizers
 
             vocabulary = public_tokenizers.path(vocabulary)
-        self.tokenizer, self.chunks, self.parts = Tokenizer.from_file(vocabulary), {}, {}
-
-    def learn(self, parts: list[bytes]) -> None:
-        """Encodes many parts as one text with spaces between; the tokens' offsets tell whose they are."""
-        for lo in range(0, len(parts), 1000):
-            some = parts[lo : lo + 1000]
-            words = [c.decode() for c in some]
-            e = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-            starts = np.cumsum([0, *(len(w) + 1 for w in words)])
-            cuts = np.searchsorted(np.array([o[0] for o in e.offsets], np.int64), starts)
-            ids = np.array(e.ids, "<u4")
-            for c, a, z in zip(some, cuts, cuts[1:]):
-                self.parts[c] = ids[a:z].tobytes()
-
-    def encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        self.tokenizer, self.bare = Tokenizer.from_file(vocabulary), Tokenizer.from_file(vocabulary)
+        self.bare.normalizer = normalizers.Sequence([])
+        self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.parts: dict[str, bytes] = {"": b""}
+        self.chunks: dict[str, bytes] = {"": b""}
+
+    @staticmethod
+    def looked_up(lists: pa.ListArray, memory: dict[str, bytes], tokenizer) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all lists of strings, one after the other, and how many each list has. A string is encoded once."""
+        flat = lists.flatten().dictionary_encode()
+        names = flat.dictionary.to_pylist()
+        if len(memory) + len(names) > CHUNKS:
+            memory.clear()
+            memory[""] = b""
+        new = [c for c in names if c not in memory]
+        for c, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+            memory[c] = array("I", e.ids).tobytes()
+        own = [memory[c] for c in names]
+        sizes = np.fromiter(map(len, own), np.int64, len(own)) >> 2
+        starts = np.cumsum(sizes) - sizes
+        at = flat.indices.to_numpy()
+        n = sizes[at]
+        ends = np.cumsum(n)
+        place = np.repeat(starts[at] - (ends - n), n)
+        place += np.arange(len(place))
+        total = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])]
+        return np.frombuffer(b"".join(own), "<u4")[place], np.diff(total)
+
+    def encoded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, and how many each has."""
-        found = [t.encode().split() for t in texts]
-        flat = [c for x in found for c in x]
-        for memory in (self.chunks, self.parts):
-            if len(memory) > CHUNKS:
-                memory.clear()
-        new = {c: [c] if b"<|" in c or not c.isascii() else PART.findall(c) for c in set(flat) if c not in self.chunks}
-        self.learn(list({x for parts in new.values() for x in parts if x not in self.parts}))
-        for c, parts in new.items():
-            self.chunks[c] = b"".join([self.parts[x] for x in parts])
-        joined = [self.chunks[c] for c in flat]
-        total = np.concatenate([[0], np.cumsum(np.fromiter(map(len, joined), np.int64, len(joined)) >> 2)])
-        return np.frombuffer(b"".join(joined), "<u4"), np.diff(total[np.cumsum([0, *map(len, found)])])
+        simple = pc.and_(pc.match_substring_regex(texts, SIMPLE), pc.invert(pc.match_substring(texts, "<|")))
+        cut = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(texts.filter(simple)), PART, r"\1 "))
+        some, some_n = self.looked_up(cut, self.parts, self.bare)
+        rest, rest_n = self.looked_up(pc.ascii_split_whitespace(texts.filter(pc.invert(simple))), self.chunks, self.tokenizer)
+        if not len(rest_n):
+            return some, some_n
+        mask, sizes = simple.to_numpy(zero_copy_only=False), np.empty(len(texts), np.int64)
+        sizes[mask], sizes[~mask] = some_n, rest_n
+        of_simple = np.repeat(mask, sizes)
+        ids = np.empty(len(of_simple), "<u4")
+        ids[of_simple], ids[~of_simple] = some, rest
+        return ids, sizes
 
 
 def encoder_of(vocabulary: str) -> Encoder:
@@ -352,16 +374,15 @@ def coded_blocks(batches, vocabulary: str, end: int):
         encoder = encoder or encoder_of(vocabulary)
         if b.num_rows:
             shard = b.column(0)[0].as_py()
-        names, texts = b.column(1).to_pylist(), b.column(2).to_pylist()
+        names, texts = b.column(1).to_pylist(), b.column(2)
+        size = np.cumsum(pc.binary_length(texts).to_numpy())
         at = 0
         while at < len(texts):  # texts of some MB at a time
-            size, to = 0, at
-            while to < len(texts) and size < 4 << 20:
-                size, to = size + len(texts[to]), to + 1
-            new, sizes = encoder.encoded(texts[at:to])
-            for name, n in zip(names[at:to], sizes + 1):
-                docs.append({"doc_id": name, "start": place, "n": int(n)})
-                place += int(n)
+            to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + (8 << 20))))
+            new, sizes = encoder.encoded(texts.slice(at, to - at))
+            for name, n in zip(names[at:to], (sizes + 1).tolist()):
+                docs.append({"doc_id": name, "start": place, "n": n})
+                place += n
             held.append(with_end(new, sizes, end))
             at = to
             if sum(map(len, held)) >= LANES * BLOCK:
@@ -377,55 +398,44 @@ def write_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     d.select(F.spark_partition_id().alias("shard"), "doc_id", "text").mapInArrow(lambda batches: coded_blocks(batches, vocabulary, end), FILE).write.parquet(path)
 
 
-PIECE = "shard int, start long, doc_id long, n long, at long, size long, crc long"
-PIECE_TYPE = pa.schema([("shard", pa.int32()), *[(n, pa.int64()) for n in ("start", "doc_id", "n", "at", "size", "crc")]])
+PIECE = "shard int, start long, doc_id long, n long, size long, crc long"
+PIECE_TYPE = pa.schema([("shard", pa.int32()), *[(n, pa.int64()) for n in ("start", "doc_id", "n", "size", "crc")]])
 
 
 def pieces_of(batches):
-    """A row for each document and block that it has ids in."""
+    """A row for each document and block that it has ids in; crc: that of the piece, shifted by what follows in the document."""
     for b in batches:
         for lo in range(0, b.num_rows, LANES):
             part = b.slice(lo, LANES).to_pydict()
             ids = decoded(part["coded"])
-            out = []
+            out, behind = [], []
             for row, shard, first, n, crc, docs in zip(ids, part["shard"], part["first"], part["n"], part["crc32"], part["docs"]):
                 data = row[:n].astype("<u4").tobytes()
                 if zlib.crc32(data) != crc:
                     raise ValueError(f"shard {shard}: the block of ids from {first} does not have the checksum stated")
                 for d in docs:
                     a, z = max(d["start"] - first, 0), min(d["start"] + d["n"] - first, n)
-                    out.append((shard, d["start"], d["doc_id"], d["n"], first + a, z - a, zlib.crc32(data[4 * a : 4 * z])))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 7, PIECE_TYPE.types)], schema=PIECE_TYPE)
-
-
-def joined(batches):
-    kind = pa.schema([("shard", pa.int32()), ("start", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("ids_crc32", pa.int64())])
-    for b in batches:
-        crcs = []
-        for start, n, pieces in zip(b.column(1).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist()):
-            crc, at = 0, start
-            for p in pieces:
-                if p["at"] != at:
-                    raise ValueError(f"a document's ids from {at} are missing")
-                crc, at = crc_joined(crc, p["crc"], 4 * p["size"]), at + p["size"]
-            if at != start + n:
-                raise ValueError(f"a document's ids from {at} are missing")
-            crcs.append(crc)
-        yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array(crcs, pa.int64())], schema=kind)
+                    out.append((shard, d["start"], d["doc_id"], d["n"], z - a, zlib.crc32(data[4 * a : 4 * z])))
+                    behind.append(4 * (d["start"] + d["n"] - first - z))
+            cols = list(zip(*out)) or [()] * 6
+            crcs = crc_shift(np.array(cols[5], np.int64), np.array(behind, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*cols[:5], crcs.astype(np.int64)], PIECE_TYPE.types)], schema=PIECE_TYPE)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """Per document: doc_id, start, n_tokens, ids_crc32, from the files."""
     files = spark.read.schema(FILE).parquet(path)
     pieces = stored(files.mapInArrow(pieces_of, PIECE), "pieces")
-    alone = (F.col("size") == F.col("n")).alias("alone")
-    whole = pieces.where(alone).select("shard", "start", "doc_id", F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
-    parts = pieces.where(~alone).groupBy("shard", "start").agg(F.first("doc_id").alias("doc_id"), F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("at", "size", "crc"))).alias("pieces"))
-    parts = parts.mapInArrow(joined, "shard int, start long, doc_id long, n long, ids_crc32 long").withColumnRenamed("n", "n_tokens")
+    alone = F.col("size") == F.col("n")
+    whole = pieces.where(alone).select("shard", "start", "doc_id", "n", F.col("crc").alias("ids_crc32"))
+    parts = pieces.where(~alone).groupBy("shard", "start").agg(F.first("doc_id").alias("doc_id"), F.first("n").alias("n"), F.bit_xor("crc").alias("ids_crc32"), F.sum("size").alias("found"))
+    complete = F.when(F.col("found") == F.col("n"), F.col("n")).otherwise(F.raise_error(F.lit("ids of a document are missing")).cast("long"))
+    parts = parts.select("shard", "start", "doc_id", complete.alias("n"), "ids_crc32")
     sizes = files.groupBy("shard").agg(F.sum("n").cast("long").alias("ids"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard
     offsets = stored(sizes.select("shard", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("before")), "shards")
-    return whole.unionByName(parts).join(offsets, "shard").select("doc_id", (F.col("before") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
+    both = whole.unionByName(parts).join(offsets, "shard")
+    return both.select("doc_id", (F.col("before") + F.col("start")).alias("start"), F.col("n").alias("n_tokens"), "ids_crc32")
 
 
 def round_trip(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END) -> DataFrame:

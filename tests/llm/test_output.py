@@ -15,7 +15,7 @@ import __spark_entry__
 from tallyfold.llm import merkle, resample, tokenfile
 
 SCHEMA = "doc_id long, text string, source string, lang string, n_chars long, pos long, grp string, digest string, weight long"
-TEXTS = [None, "", " \t\n", "Abc", "It's ÉCOLE<|endoftext|>b I'LL x ß\x1fa\x0bb\x85c 12ab3½ !'s''re", "퟿\U0001f600á ῼΣ ΑΣ H̱", "word " * 30_000, "w" * 70_000, "a" + "é" * 100]
+TEXTS = [None, "", " \t\n", "Abc", "It's ÉCOLE<|endoftext|>b I'LL x ß\x1fa\x0bb\x85c 12ab3½ !'s''re", "퟿\U0001f600á ῼΣ ΑΣ H̱", "word " * 30_000, "w" * 70_000, "It's A\x0bb \x1f!x 12 'S'll É", "a" + "é" * 100]
 
 
 def frame(spark, rows, n=1):
@@ -162,8 +162,10 @@ def test_mixture_sums_to_one():
 def test_crc_of_joined_bytes():
     rng = random.Random(2)
     for _ in range(50):
-        a, b = rng.randbytes(rng.randint(0, 50)), rng.randbytes(rng.randint(0, 5000))
-        assert tokenfile.crc_joined(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+        parts = [rng.randbytes(rng.choice([0, 1, 50, 5000])) for _ in range(rng.randint(1, 6))]
+        behind = [sum(map(len, parts[i + 1 :])) for i in range(len(parts))]
+        shifted = tokenfile.crc_shift(np.array([zlib.crc32(p) for p in parts]), np.array(behind))
+        assert np.bitwise_xor.reduce(shifted) == zlib.crc32(b"".join(parts))
 
 
 def test_token_file_by_brute_force(spark, tmp_path):
@@ -182,6 +184,23 @@ def test_token_file_by_brute_force(spark, tmp_path):
     bad.write.parquet(str(tmp_path / "b"))
     with pytest.raises(Exception, match="checksum"):
         tokenfile.read_ids(spark, str(tmp_path / "b")).collect()
+    spark.read.parquet(str(tmp_path / "a")).where("block <> 1").write.parquet(str(tmp_path / "c"))
+    with pytest.raises(Exception, match="missing"):
+        tokenfile.read_ids(spark, str(tmp_path / "c")).collect()
+
+
+def test_texts_in_parts_have_the_ids_of_whole_texts():
+    import pyarrow as pa
+
+    rng = random.Random(11)
+    simple = [chr(c) for c in range(128)] + list("àÉßÿÖøÐ") + ["'s", "'LL", "'Re", " ", "\n", "the", "Ing", "<|", "<|endoftext|>"]
+    other = simple + list("×÷œ“É\u0301Σ\u00a0\u2028İǅ中\U0001f600\u0131")
+    texts = ["".join(rng.choice(side) for _ in range(rng.randint(0, 40))) for _ in range(1500) for side in (simple[:-2], simple, other)]
+    e = tokenfile.Encoder(tokenfile.VOCABULARY)
+    ids, sizes = e.encoded(pa.array(texts))
+    at = np.cumsum([0, *sizes])
+    for text, a, z, want in zip(texts, at, at[1:], e.tokenizer.encode_batch(texts, add_special_tokens=False)):
+        assert ids[a:z].tolist() == want.ids, repr(text)
 
 
 def test_few_blocks_at_a_time(spark, monkeypatch):
