@@ -46,14 +46,36 @@ def peers(events: DataFrame, industry: DataFrame, members: DataFrame) -> DataFra
 
 
 def match(rows: DataFrame, members: DataFrame) -> DataFrame:
-    """rows (cik, name_key, day) with the ticker that is a member by cik, the earliest of several, or else by normalised name if just one is."""
-    r = rows.withColumn("_row", F.struct(*rows.columns))
-    m = members.select(F.col("ticker").alias("m_ticker"), F.col("cik").alias("m_cik"), F.col("name_key").alias("m_name"), F.col("start_date").alias("m_start"), F.col("end_date").alias("m_end"))
-    on_day = member_on(F.col("day"), F.col("m_start"), F.col("m_end"))
-    by_cik = r.join(m, (F.col("cik") == F.col("m_cik")) & on_day).groupBy("_row").agg(F.min_by("m_ticker", F.struct("m_start", "m_ticker")).alias("c_ticker"))
-    by_name = r.join(m, (F.col("name_key") == F.col("m_name")) & on_day).groupBy("_row").agg(F.count_distinct("m_ticker").alias("_k"), F.min("m_ticker").alias("n_ticker"))
-    out = r.join(by_cik.withColumnRenamed("_row", "_c"), r["_row"] == F.col("_c"), "left").join(by_name.withColumnRenamed("_row", "_d"), r["_row"] == F.col("_d"), "left")
-    return out.select(*rows.columns, F.coalesce("c_ticker", F.when(F.col("_k") == 1, F.col("n_ticker"))).alias("ticker"))
+    """rows (cik, name_key, day) with the ticker that is a member by cik, the earliest of several, or else by normalised name if just one is.
+    No join makes more rows than it is given: a cik's members stand in one list, by start, and of a name only the spells count in
+    which one ticker alone has it (alone()). Those that end meet rows by name and year, the one that does not end by name."""
+    m = members.where("start_date is not null and (end_date is null or end_date > start_date)")
+    listed = m.where("cik is not null").groupBy(F.col("cik").alias("_cik")).agg(F.sort_array(F.collect_list(F.struct("start_date", "ticker", "end_date"))).alias("_listed"))
+    spells = alone(m)
+    last = spells.where("until is null").select(F.col("name_key").alias("_l_name"), F.col("since").alias("_last"), F.col("ticker").alias("_l_ticker"))
+    years = F.explode(F.sequence(F.year("since"), F.year(F.date_sub("until", 1))))
+    ended = spells.where("until is not null").select(F.col("name_key").alias("_e_name"), F.col("since").alias("_since"), F.col("until").alias("_until"), F.col("ticker").alias("_e_ticker"), years.alias("_year"))
+    out = rows.join(listed, F.col("cik") == F.col("_cik"), "left").join(last, F.col("name_key") == F.col("_l_name"), "left")
+    out = out.join(ended, (F.col("name_key") == F.col("_e_name")) & (F.year("day") == F.col("_year")) & member_on(F.col("day"), F.col("_since"), F.col("_until")), "left")
+    by_cik = F.get(F.filter("_listed", lambda x: member_on(F.col("day"), x["start_date"], x["end_date"])), F.lit(0))["ticker"]
+    return out.select(*[rows[c] for c in rows.columns], F.coalesce(by_cik, "_e_ticker", F.when(F.col("day") >= F.col("_last"), F.col("_l_ticker"))).alias("ticker"))
+
+
+def alone(members: DataFrame) -> DataFrame:
+    """name_key, since, until and ticker: the spells [since, until) in which just one ticker has the name; they do not overlap. A
+    sweep over the days on which a ticker takes or leaves a name: running sums give how many have it, and the only one's number."""
+    m = members.where("name_key is not null and ticker is not null").select("name_key", "ticker", "start_date", "end_date")
+    ends = F.explode(F.array(F.struct(F.col("start_date").alias("day"), F.lit(1).alias("d")), F.struct(F.col("end_date").alias("day"), F.lit(-1).alias("d"))))
+    moves = m.select("name_key", "ticker", ends.alias("_m")).where("_m.day is not null").groupBy("name_key", "ticker", F.col("_m.day").alias("day")).agg(F.sum("_m.d").alias("d"))
+    own, name = Window.partitionBy("name_key", "ticker").orderBy("day"), Window.partitionBy("name_key")
+    held = moves.withColumn("_has", (F.sum("d").over(own) > 0).cast("long"))
+    turns = held.withColumn("_turn", F.col("_has") - F.lag("_has", 1, 0).over(own)).where("_turn <> 0")  # overlapping rows of a ticker are one
+    turns = turns.withColumn("_no", F.dense_rank().over(name.orderBy("ticker")).cast("long"))
+    days = turns.groupBy("name_key", "day").agg(F.sum("_turn").alias("_k"), F.sum(F.col("_turn") * F.col("_no")).alias("_s"))
+    by_day = name.orderBy("day")
+    days = days.select("name_key", F.col("day").alias("since"), F.lead("day").over(by_day).alias("until"), F.sum("_k").over(by_day).alias("_k"), F.sum("_s").over(by_day).alias("_no"))
+    numbers = turns.select("name_key", "_no", "ticker").distinct()
+    return days.where("_k = 1").join(numbers, ["name_key", "_no"]).select("name_key", "since", "until", "ticker")
 
 
 def first_by(rows: DataFrame, keys: list[str], *order) -> DataFrame:

@@ -1,6 +1,7 @@
 """Golden cases and traps of the event-study operators."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -108,6 +109,29 @@ def test_matching(spark):
     assert got == {(1, "X", 2015): "T1", (9, "ACME", 2015): "T1", (9, "BETA", 2015): None, (1, "X", 2009): None}
 
 
+def test_matching_meets_each_name_once(spark):
+    """Many members of one name, with overlapping, touching, repeated and empty intervals, against the definition: the spells in
+    which one alone has the name never overlap, so a row meets one at most."""
+    rng = random.Random(7)
+    at = lambda: D(2010, 1, 1) + dt.timedelta(rng.randrange(0, 1500, 30))
+    m = [(f"T{rng.randrange(8)}" if i % 9 else None, rng.choice([None, 1, 2, 3]), rng.choice([None, "A", "B"]), at(), rng.choice([None, at(), at(), at()])) for i in range(60) if i < 30 or i % 3]
+    m = [x if i % 2 else (x[0], x[1], f"N{i % 20}", x[3], x[4]) for i, x in enumerate(m)]
+    rows = [(i, rng.choice([None, 1, 2, 3, 9]), rng.choice([None, "A", "B", *(f"N{k}" for k in range(0, 20, 2))]), rng.choice([None, at(), at(), at(), at()])) for i in range(800)]
+
+    def want(cik, name, day):
+        on = [x for x in m if day and x[3] <= day and (x[4] is None or x[4] > day)]
+        own = sorted((x for x in on if x[1] == cik and cik is not None), key=lambda x: (x[3], x[0] or ""))
+        named = {x[0] for x in on if x[2] == name and name is not None and x[0]}
+        return (own and own[0][0]) or (named.pop() if len(named) == 1 else None)
+
+    members = spark.createDataFrame(m, "ticker string, cik long, name_key string, start_date date, end_date date")
+    got = intervals.match(spark.createDataFrame(rows, "id long, cik long, name_key string, day date"), members).collect()
+    assert {r.id: r.ticker for r in got} == {r[0]: want(*r[1:]) for r in rows} and len(got) == len(rows)
+    assert 0 < sum(r.ticker is not None for r in got) < len(rows)
+    spells = sorted((r.name_key, r.since, r.until or D(9999, 1, 1)) for r in intervals.alone(members).collect())
+    assert all(a[0] != b[0] or a[2] <= b[1] for a, b in zip(spells, spells[1:])) and any(s[2] < D(9999, 1, 1) for s in spells)
+
+
 def test_cooldown_is_greedy(spark):
     rows = [("t", D(2018, 1, 1) + dt.timedelta(days=d), i, f"o{i}", 10.0) for i, d in enumerate((0, 1, 20, 31, 32, 62, 63))]
     p = spark.createDataFrame(rows, "ticker string, day date, row_no long, owner string, value double")
