@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.calendar import universe_date
 from ..functions.html import MARKUP, html_to_text, trimmed, unescaped
 from ..functions.text import item_codes, looks_like_markup
+from ..storage import stored
 
 #: What the price vendor writes into a refusal that it sends with status 200.
 QUOTA_MARKS = ("run over your", "symbol look up", "hourly request allocation", "upgrade at https://api.tiingo.com/pricing")
@@ -146,30 +147,45 @@ def zipped_tsv(spark: SparkSession, path: str, member: str, schema: str) -> Data
     return files.mapInArrow(read, "row_no long, " + ", ".join(f"{c} string" for c in names))
 
 
+#: The HTML standard's bounds of rowspan and colspan.
+MOST_ROWS, MOST_COLUMNS = 65_534, 1_000
+
+
 def html_rows(pages: DataFrame, key: str, html: str) -> DataFrame:
     """key, table_no, row_no, header (all its cells are headings) and cells (plain text) of every row of every table of HTML
-    pages. A cell over several columns or rows stands in each of them; tables are not nested."""
+    pages. A cell over several columns or rows stands in each of them; tables are not nested. Rows are parsed one by one, and
+    cells over several rows are carried on in one pass down each page's tables."""
     plain = lambda c: F.trim(F.regexp_replace(unescaped(F.regexp_replace(c, MARKUP, " ")), r"(?U)\s+", " "))
-    span = lambda c, name: F.greatest(F.coalesce(F.nullif(F.regexp_extract(c, rf"(?i)^<t[hd]\b[^>]*\b{name}\s*=\s*[\"']?([0-9]{{1,3}})", 1), F.lit("")).cast("int"), F.lit(1)), F.lit(1))
+    number = lambda c, name: F.nullif(F.regexp_extract(c, rf"(?i)^<t[hd]\b[^>]*\b{name}\s*=\s*[\"']?([0-9]{{1,18}})", 1), F.lit("")).cast("long")
+    span = lambda c, name, most: F.greatest(F.least(F.coalesce(number(c, name), F.lit(1)), F.lit(most)), F.lit(1)).cast("int")
     tables = pages.select(key, F.posexplode(F.regexp_extract_all(html, F.lit(r"(?is)<table\b[^>]*>(.*?)</table\s*>"), F.lit(1))).alias("table_no", "_t"))
-    rows = F.transform(F.regexp_extract_all("_t", F.lit(r"(?is)<tr\b[^>]*>(.*?)(?=</tr\s*>|<tr\b|\z)"), F.lit(1)), lambda r: F.regexp_extract_all(r, F.lit(r"(?is)<t[hd]\b[^>]*>.*?(?=</t[hd]\s*>|<t[hd]\b|\z)"), F.lit(0)))
-    cell = lambda c: F.array_repeat(F.struct(plain(c).alias("text"), (span(c, "rowspan") - 1).alias("left")), span(c, "colspan"))
-    rows = F.transform(rows, lambda r: F.struct(((F.size(r) > 0) & F.forall(r, lambda c: F.lower(F.substring(c, 1, 3)) == "<th")).alias("header"), F.flatten(F.transform(r, cell)).alias("own")))
-    below = F.aggregate("_rows", F.expr("cast(array() as array<struct<header:boolean,cells:array<struct<text:string,left:int>>>>)"), lambda done, row: F.concat(done, F.array(spread_row(F.get(done, F.size(done) - 1)["cells"], row))))
-    grid = tables.select(key, "table_no", rows.alias("_rows")).select(key, "table_no", F.posexplode(below).alias("row_no", "_r"))
-    return grid.select(key, "table_no", "row_no", F.col("_r.header").alias("header"), F.col("_r.cells.text").alias("cells"))
-
-
-def spread_row(above: Column, row: Column) -> Column:
+    rows = tables.select(key, "table_no", F.posexplode(F.regexp_extract_all("_t", F.lit(r"(?is)<tr\b[^>]*>(.*?)(?=</tr\s*>|<tr\b|\z)"), F.lit(1))).alias("row_no", "_r"))
+    rows = rows.withColumn("_r", F.regexp_extract_all("_r", F.lit(r"(?is)<t[hd]\b[^>]*>.*?(?=</t[hd]\s*>|<t[hd]\b|\z)"), F.lit(0)))
+    header = (F.size("_r") > 0) & F.forall("_r", lambda c: F.lower(F.substring(c, 1, 3)) == "<th")
+    cell = lambda c: F.array_repeat(F.struct(plain(c).alias("text"), (span(c, "rowspan", MOST_ROWS) - 1).alias("left")), span(c, "colspan", MOST_COLUMNS))
+    own = rows.select(key, "table_no", "row_no", header.alias("header"), F.flatten(F.transform("_r", cell)).alias("_own"))
+    own = own.select(key, "table_no", "row_no", "header", F.col("_own.text").alias("cells"), F.col("_own.left").alias("_left"))
+    return own.mapInArrow(spread, own.drop("_left").schema)
+
+
+def spread(batches):
+    """Rows as html_rows makes them, in a page's order, with the cells of the rows above that reach into them."""
+    import pyarrow as pa
+
+    carry: list[tuple[str, int]] = []
+    for b in batches:
+        out = []
+        for row_no, texts, left in zip(*(b.column(n).to_pylist() for n in ("row_no", "cells", "_left"))):
+            carry = spread_row(carry if row_no else [], list(zip(texts, left)))
+            out.append([c and c[0] for c in carry])
+        held = {n: b.column(n) for n in b.schema.names if n != "_left"}
+        yield pa.RecordBatch.from_pydict(held | {"cells": pa.array(out, pa.list_(pa.string()))})
+
+
+def spread_row(above: list, own: list) -> list:
     """One step down a table: cells of the row above that reach this one keep their columns, the row's own fill the others."""
-    carry, own = F.coalesce(above, F.expr("cast(array() as array<struct<text:string,left:int>>)")), row["own"]
-    width = F.size(F.filter(carry, lambda c: c["left"] > 0)) + F.size(own)
-    before = lambda i: F.size(F.filter(F.slice(carry, 1, i), lambda c: c["left"] > 0))
-    placed = F.transform(
-        F.when(width > 0, F.sequence(F.lit(0), width - 1)).otherwise(F.expr("cast(array() as array<int>)")),
-        lambda i: F.when(F.coalesce(F.get(carry, i)["left"] > 0, F.lit(False)), F.struct(F.get(carry, i)["text"].alias("text"), (F.get(carry, i)["left"] - 1).alias("left"))).otherwise(F.get(own, i - before(i))),
-    )
-    return F.struct(row["header"].alias("header"), placed.alias("cells"))
+    width, rest = sum(1 for c in above if c and c[1] > 0) + len(own), iter(own)
+    return [(above[i][0], above[i][1] - 1) if i < len(above) and above[i] and above[i][1] > 0 else next(rest, None) for i in range(width)]
 
 
 def table_names(rows: DataFrame, key: str) -> DataFrame:
@@ -195,7 +211,9 @@ def membership_pages(pages: DataFrame, key: str, html: str) -> tuple[DataFrame,
     is_changes = (F.size(dated) > 0) & F.exists(names, lambda n: n.startswith("added_"))
     place = lambda test: F.get(F.filter(F.transform(names, lambda n, i: F.when(test(n), i)), lambda i: i.isNotNull()), F.lit(0))
     move = lambda kind: place(lambda n: n.startswith(f"{kind}_") & F.contains(n, F.lit("ticker")))
-    rows = html_rows(pages, key, html)
+    # few and long pages: each may go to a task of its own; rows are read four times
+    spark = pages.sparkSession
+    rows = stored(html_rows(pages.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key), key, html), "page-rows")
     columns = {"symbol": place(lambda n: n == "symbol"), "security": place(lambda n: n == "security"), "cik": place(lambda n: n == "cik"), "date": place(lambda n: n == F.get(dated, F.lit(0))), "added": move("added"), "removed": move("removed")}
     heads = table_names(rows, key).select(key, "table_no", is_current.alias("is_current"), is_changes.alias("is_changes"), F.struct(*[c.alias(n) for n, c in columns.items()]).alias("at"))
     first = lambda role: heads.where(role).groupBy(key).agg(F.min_by(F.struct("table_no", "at"), "table_no").alias("_t")).select(key, "_t.*")

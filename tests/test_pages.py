@@ -87,3 +87,12 @@ def test_reconstruction_by_the_backward_walk(spark):
         want += [(k, *x) for x in walked(members, own)]
     got = intervals.reconstruct(spark.createDataFrame(now, "k int, ticker string"), spark.createDataFrame(changes, "k int, day date, added string, removed string"), keys=["k"]).select("k", "ticker", "start_date", "end_date").collect()
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_cells_over_very_many_rows(spark):
+    """A cell over 2,500 rows and one beyond the standard's bound of columns, in a table of 3,000 rows."""
+    lines = "".join(f"<tr>{'<td rowspan=2500>d</td>' if i == 1 else ''}<td>{i}</td><td rowspan='{1 + i % 3}'>x{i}</td></tr>" for i in range(1, 3000))
+    page = f"<table><tr><th>a</th><th>b</th><th>c</th></tr>{lines}</table><table><tr><td colspan=100000>w</td></tr></table>"
+    rows = {(r.table_no, r.row_no): r.cells for r in readers.html_rows(spark.createDataFrame([(1, page)], "k int, h string"), "k", "h").collect()}
+    assert len(rows) == 3001 and rows[1, 0] == ["w"] * 1000
+    assert all(rows[0, i][:2] == ["d", str(i)] for i in range(1, 2500) if "x" not in rows[0, i][1]) and rows[0, 2500][0] == "d" and "d" not in rows[0, 2501]
