@@ -61,6 +61,12 @@ LATE_REDACTIONS = (
     ("zip", r"\b\d{5}(?:-\d{4})?\b", "[ID]"),
     ("bare_year", r"\b(?:19[5-9]\d|20[0-4]\d)\b", "[PERIOD]"),
 )
+#: What a text must hold for a step to find anything, in signs that are looked for faster; other steps are always tried.
+DIGIT = r"\p{Nd}"
+NEEDS = {
+    "url": r"://|[wW]{3}\.", "email": "@", "filename": r"\.[hHtTpPjJgGxXzZ]", "signature": "/s/",
+    **dict.fromkeys(("cik_label", "irs_number", "phone", "quarter", "fiscal_year", "date_long", "date_dmy", "date_month_year", "date_numeric", "date_iso", "zip", "bare_year"), DIGIT),
+}
 RUN = r"(\[(?:COMPANY|PERSON|DATE|ADDRESS|ID)\])[\s,]*(?:\[(?:COMPANY|PERSON|DATE|ADDRESS|ID)\][\s,]*)+"
 #: The label of each leak scan and the step whose pattern it takes.
 SCANS = (("date", "date_long"), ("date", "date_dmy"), ("date", "date_numeric"), ("date", "date_iso"), ("year", "bare_year"), ("email", "email"), ("url", "url"), ("city_state", "city_state"), ("filename", "filename"), ("street", "street"))
@@ -93,23 +99,33 @@ def redaction(text: Column, variants: Column | None = None, ticker: Column | Non
     """Struct of text, redacted, and counts, a map from step to the number of its replacements for the steps that made any.
 
     A fold: each step counts in, and replaces in, what the steps before it left, so nothing counts twice. A list of one binds
-    a step's result, or every step would compute all before it again and again."""
+    a step's result, or every step would compute all before it again and again. A step without a match, or whose NEEDS are not
+    there, leaves the state as it is; no step writes a digit, so that texts without one skip those that need it."""
     empty = F.struct(F.coalesce(text, F.lit("")).alias("text"), F.expr("cast(array() as array<struct<key:string,value:int>>)").alias("counts"))
+    bound = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+
+    def replaced(s: Column, key: str, pattern: Column, placeholder: str) -> Column:
+        done = lambda n: F.when(n > 0, F.struct(F.regexp_replace(s["text"], pattern, F.lit(placeholder)).alias("text"), F.concat(s["counts"], F.array(F.struct(F.lit(key).alias("key"), n.alias("value")))).alias("counts"))).otherwise(s)
+        return bound(F.regexp_count(s["text"], pattern), done)
 
     def then(state: Column, key: str, pattern: Column, placeholder: str, when: Column | None = None) -> Column:
         def step(s: Column) -> Column:
-            n = F.regexp_count(s["text"], pattern)
-            done = F.struct(F.regexp_replace(s["text"], pattern, F.lit(placeholder)).alias("text"), F.concat(s["counts"], F.array(F.struct(F.lit(key).alias("key"), n.alias("value")))).alias("counts"))
-            return done if when is None else F.when(when, done).otherwise(s)
+            needs = NEEDS.get(key) if when is None else None
+            may = F.regexp_like(s["text"], F.lit(needs)) if needs else when
+            done = replaced(s, key, pattern, placeholder)
+            return done if may is None else F.when(may, done).otherwise(s)
+
+        return bound(state, step)
 
-        return F.get(F.transform(F.array(state), step), F.lit(0))
+    def steps(state: Column, listed) -> Column:
+        for key, pattern, placeholder in listed:
+            state = then(state, key, F.lit("(?U)" + pattern), placeholder)
+        return state
 
     quoted = lambda before, value, after=r"\b": F.concat(F.lit(f"(?U){before}\\Q"), value, F.lit("\\E" + after))
-    out = empty
-    for key, pattern, placeholder in REDACTIONS:
-        out = then(out, key, F.lit("(?U)" + pattern), placeholder)
+    out = steps(empty, REDACTIONS)
     if variants is not None:
-        named = lambda s, v: F.struct(F.regexp_replace(s["text"], quoted(r"(?i)\b", v), F.lit("[COMPANY]")).alias("text"), F.concat(s["counts"], F.array(F.struct(F.lit("company_name").alias("key"), F.regexp_count(s["text"], quoted(r"(?i)\b", v)).alias("value")))).alias("counts"))
+        named = lambda s, v: replaced(s, "company_name", quoted(r"(?i)\b", v), "[COMPANY]")
         out = F.aggregate(F.coalesce(variants, F.expr("cast(array() as array<string>)")), out, named)
     if ticker is not None:
         given = F.coalesce(F.length(ticker) >= 1, F.lit(False))
@@ -117,14 +133,14 @@ def redaction(text: Column, variants: Column | None = None, ticker: Column | Non
         out = then(out, "ticker", quoted(r"\b", ticker), "[TICKER]", given)
     if cik is not None:
         out = then(out, "cik_number", F.concat(F.lit(r"(?U)\b0*"), cik.cast("string"), F.lit(r"\b")), "[ID]", cik.isNotNull())
-    for key, pattern, placeholder in LATE_REDACTIONS:
-        out = then(out, key, F.lit("(?U)" + pattern), placeholder)
+    first = next(i for i, step in enumerate(LATE_REDACTIONS) if NEEDS.get(step[0]) == DIGIT)
+    out = steps(out, LATE_REDACTIONS[:first])
+    out = bound(out, lambda s: F.when(F.regexp_like(s["text"], F.lit(DIGIT)), steps(s, LATE_REDACTIONS[first:])).otherwise(s))  # all of these need one
 
     def closed(s: Column) -> Column:
         t = F.regexp_replace(F.regexp_replace(F.regexp_replace(s["text"], RUN, "$1 "), r"[ \t]{2,}", " "), r"(?U)^\s+|\s+\z", "")
-        made = F.filter(s["counts"], lambda c: c["value"] > 0)
-        keys = F.array_distinct(F.transform(made, lambda c: c["key"]))
-        total = lambda k: F.aggregate(F.filter(made, lambda c: c["key"] == k), F.lit(0), lambda n, c: n + c["value"])
+        keys = F.array_distinct(F.transform(s["counts"], lambda c: c["key"]))
+        total = lambda k: F.aggregate(F.filter(s["counts"], lambda c: c["key"] == k), F.lit(0), lambda n, c: n + c["value"])
         return F.struct(t.alias("text"), F.map_from_arrays(keys, F.transform(keys, total)).alias("counts"))
 
     return F.get(F.transform(F.array(out), closed), F.lit(0))
@@ -137,7 +153,8 @@ def redact(text: Column, variants: Column | None = None, ticker: Column | None =
 def find_leaks(text: Column, variants: Column | None = None, ticker: Column | None = None, cik: Column | None = None) -> Column:
     """SURVEY I5: sorted distinct labels 'kind:first match' of every scan of the reference over redacted text."""
     patterns = {n: "(?U)" + p for n, p, _ in (*REDACTIONS, *LATE_REDACTIONS)}
-    found = [F.when(F.regexp_like(text, F.lit(patterns[n])), F.concat(F.lit(f"{k}:"), F.substring(F.regexp_extract(text, patterns[n], 0), 1, 40))) for k, n in SCANS]
+    may = lambda n: F.regexp_like(text, F.lit(NEEDS[n])) & F.regexp_like(text, F.lit(patterns[n])) if n in NEEDS else F.regexp_like(text, F.lit(patterns[n]))
+    found = [F.when(may(n), F.concat(F.lit(f"{k}:"), F.substring(F.regexp_extract(text, patterns[n], 0), 1, 40))) for k, n in SCANS]
     if ticker is not None:
         found.append(F.when((F.length(ticker) >= 1) & F.regexp_like(text, F.concat(F.lit(r"(?U)\b\Q"), ticker, F.lit(r"\E\b"))), F.concat(F.lit("ticker:"), ticker)))
     if cik is not None:

@@ -81,3 +81,15 @@ def test_counts_are_of_replacements(spark, sf_dir):
     for i, t in rows:
         assert got[i] == by_hand(t, variants, "ACM", 320193), t
     assert got[0][1] == {"url": 1, "date_iso": 1} and got[1][1]["company_name"] == 2
+
+
+def test_needs_are_necessary(spark):
+    """Every match of a step holds what the step needs, in any case and any script's digits; the steps under one test need digits."""
+    found = ["WWW.x", "HTTPS://x", "http://y", "a@b.c", "file.HTM", "x.y.Zip", "abc.jpeg", "CIK 00001234", "Central Index Key: ١٢٣٤٥", "12-3456789", "(212) 555-1234", "/s/ Jo Do", "Q1 quarter of 2018", "fiscal ٢٠١٨", "May 5, 2018", "5 MAY 2018", "\u017fept. 2018", "1/5/18", "2018-01-05", "12345-6789", "1999"]
+    step = {n: p for n, p, _ in (*text.REDACTIONS, *text.LATE_REDACTIONS)}
+    df = spark.createDataFrame([(x,) for x in found], "t string")
+    r = df.select(*[F.sum((F.regexp_like("t", F.lit("(?U)" + step[n])) & ~F.regexp_like("t", F.lit(need))).cast("int")).alias(n) for n, need in text.NEEDS.items()], *[F.sum(F.regexp_like("t", F.lit("(?U)" + step[n])).cast("int")).alias(f"n_{n}") for n in text.NEEDS]).first()
+    assert all(r[n] == 0 and r[f"n_{n}"] > 0 for n in text.NEEDS)
+    late = [text.NEEDS.get(n) == text.DIGIT for n, _, _ in text.LATE_REDACTIONS]
+    assert late == sorted(late)
+    assert all(not any(c.isdigit() for c in placeholder) for _, _, placeholder in (*text.REDACTIONS, *text.LATE_REDACTIONS))
