@@ -133,3 +133,12 @@ def test_change_by_brute_force(spark):
         last[s] = i
     got = {r.id: (r.prev, r.change) for r in novelty.change(df, "id", "text", ["src"], "id", counted, vocab).collect()}
     assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-9 for k in got)
+
+
+def test_terms_are_counted_in_their_text(spark):
+    from tallyfold.operators import novelty
+
+    df = spark.createDataFrame([(1, "Beta alpha beta, the alpha gamma beta"), (2, "the of"), (3, ""), (4, "zeta")], "id long, t string")
+    counts = novelty.term_counts(df, "id", "t")
+    assert sorted(tuple(r) for r in counts.collect()) == [(1, 6, "alpha", 2), (1, 6, "beta", 3), (1, 6, "gamma", 1), (4, 1, "zeta", 1)]
+    assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
