@@ -7,6 +7,8 @@ the table before or after, and a job that is lost in between leaves the old tabl
 Rows that break a rule do not stop a write: they go to the snapshot's rejected rows with the first rule that they break, in
 this order: a column that may not be null, a check of the schema, a parent that is missing, and, in a table that never changes
 a row, a key that is there already. Of new rows with one key the last by `order` counts; ties need a total order.
+
+Keys of a table grow with it, and its files are far smaller than they are: keys meet by sorting, none go to the driver.
 """
 
 from __future__ import annotations
@@ -58,7 +60,7 @@ class KeyedTable:
         for own, (parent, key) in schema.PARENTS.get(self.name, {}).items():
             if parent in self.parents:
                 p = self.parents[parent]
-                there = (p.read() if isinstance(p, KeyedTable) else p).select(F.col(key).alias("_parent")).distinct().withColumn("_there", F.lit(True))
+                there = (p.read() if isinstance(p, KeyedTable) else p).select(F.col(key).alias("_parent")).distinct().withColumn("_there", F.lit(True)).hint("merge")
                 out = out.join(there, F.col(own) == F.col("_parent"), "left").withColumn("violation", F.coalesce("violation", F.when(F.col(own).isNotNull() & F.col("_there").isNull(), f"{own}_without_{parent}"))).drop("_parent", "_there")
         return out
 
@@ -69,11 +71,12 @@ class KeyedTable:
         judged = self.judged(new)
         good = first_by(judged.where("violation is null").drop("violation"), self.keys, *order)
         bad = judged.where("violation is not null")
+        there = old.select(*self.keys).hint("merge")
         if self.name in schema.IMMUTABLE:
-            bad = bad.unionByName(good.join(old.select(*self.keys), self.keys, "left_semi").withColumn("violation", F.lit("immutable")))
-            rows = old.unionByName(good.join(old.select(*self.keys), self.keys, "left_anti").select(*old.columns))
+            bad = bad.unionByName(good.join(there, self.keys, "left_semi").withColumn("violation", F.lit("immutable")))
+            rows = old.unionByName(good.join(there, self.keys, "left_anti").select(*old.columns))
         else:
-            rows = old.join(good.select(*self.keys), self.keys, "left_anti").select(*old.columns).unionByName(good.select(*old.columns))
+            rows = old.join(good.select(*self.keys).hint("merge"), self.keys, "left_anti").select(*old.columns).unionByName(good.select(*old.columns))
         return self._put(version, rows, bad)
 
     def replace(self, new: DataFrame, *order: str | Column) -> int:

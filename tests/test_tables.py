@@ -71,3 +71,14 @@ def test_counts_of_the_one_pass(spark, tmp_path):
     got = json.loads(spark.read.text(str(tmp_path / "m")).first().value)
     assert got["counts"] == {"read": 41, "written": 11} and got["exclusions"] == {"a": 10, "b": 10, "other": 10}
     assert spark.read.parquet(str(tmp_path / "rows")).columns == ["i"] and spark.read.parquet(str(tmp_path / "rows")).count() == 11
+
+
+def test_keys_of_parents_stay_with_the_executors(spark):
+    """A parent's keys meet the rows by sorting, however small its files look."""
+    from tallyfold.sources.tables import KeyedTable
+
+    parents = spark.range(10)
+    rows = spark.range(20).selectExpr("id as prediction_id", "1 as horizon", "cast(null as date) as entry_date", "cast(null as date) as exit_date", "0D as raw_return", "0D as excess_return", "10D as cost_bps", "0D as net_return")
+    judged = KeyedTable(spark, "/nowhere", "evaluations", {"predictions": parents}).judged(rows)
+    assert judged.where("violation = 'prediction_id_without_predictions'").count() == 10
+    assert "Broadcast" not in judged._jdf.queryExecution().executedPlan().toString()
