@@ -4,11 +4,12 @@ Writing: documents are sorted by ranges of doc_id; each range is one shard. A ta
 each and cuts the ids into blocks of BLOCK. A block is coded by itself with an adaptive range coder. Three models predict
 an id: those of order 2 and order 1 keep, under the two ids or the one id before, one candidate and a confidence, and for
 each confidence the share of hits so far; that of order 0 counts the ids' high bytes. Their forecasts are mixed with weights
-that follow Bayes' rule with a fixed share, so P(id) is the weighted sum of what they forecast. The mixture drives three
+that follow Bayes' rule with a fixed share, so P(id) is the weighted sum of what they forecast. Candidates and confidences
+change with every id, weights and shares of hits after RENEW ids, from every other id of them. The mixture drives three
 steps of the coder: candidate of order 2, candidate of order 1, or another; another is coded as a high byte by the counts
 of order 0, and its low byte stands as it is behind the coder's words. Blocks of a shard are coded side by side, one to a lane of numpy arrays, and
-coder and decoder share the models' code. Arithmetic is in unsigned integers and single-precision sums, products and
-quotients, which are the same on every machine with IEEE 754.
+coder and decoder share the models' code. Arithmetic is in whole numbers and in sums, products and quotients of floating
+point, which are the same on every machine with IEEE 754.
 
 The files are Parquet, a row for each block: shard, block, first id's place in the shard, ids, CRC-32 of the ids (32 bits,
 little-endian), the coded bytes, and the documents that have ids in it with their start in the shard and their length.
@@ -16,7 +17,7 @@ Reading decodes blocks wherever their rows lie, in any split, checks each block'
 over several blocks is put together from its pieces' lengths and CRC-32s, so no task reads a whole document or shard.
 
 Texts are encoded by chunks: the vocabulary's pattern matches no white space and its normaliser composes nothing across it,
-so the ids are those of the whole text, and a chunk seen before is looked up.
+so the ids are those of the whole text, and a chunk seen before is looked up. New parts of simple texts are encoded together.
 
 Defined cases: null text is empty, and has END alone; a null doc_id sorts first; rows with the same doc_id sort by text,
 equal rows stand in any order; an empty table makes no block and an empty result; other columns are ignored; a text of any
@@ -28,7 +29,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from array import array
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,15 +40,25 @@ from pyspark.sql import functions as F
 from .common import new_path, partitions, stored
 
 VOCABULARY, END = "word_bpe_49k.json", 2
-#: Ids in a block, blocks coded side by side, and distinct chunks that a worker remembers.
-BLOCK, LANES, CHUNKS = 2048, 4096, 1 << 19
-#: Contexts of a block under order 1 and order 2 (powers of two), and confidences of a candidate.
-SLOTS1, SLOTS2, SURE = 1024, 2048, 8
-#: Bits of the coder's frequencies for candidates and for high bytes, and ids after which high bytes are counted anew.
-SCALE, SCALE0, ANEW = 12, 10, 128
-#: Least share of a model's weight, an id's share under a model that did not name it, and rate of hit shares.
-SHARE, ELSE, RATE = 0.02, 1 / 256, 1 / 16
+#: Ids in a block, blocks coded side by side, distinct chunks that a worker remembers, and new parts encoded together.
+BLOCK, LANES, CHUNKS, TOGETHER = 2048, 4096, 1 << 19, 64
+#: Contexts of a block under order 1 and candidates of each, the first that of order 1 and the others those of order 2 with the
+#: same last id (powers of two, 16 bytes a context), and confidences of a candidate.
+SLOTS1, WAYS, SURE = 1024, 4, 8
+#: Bits of the coder's frequencies for candidates and for high bytes, and ids after which high bytes are counted anew, then
+#: after twice as many each time.
+SCALE, SCALE0, ANEW = 12, 10, 32
+#: Ids after which weights and hit shares are renewed (at a block's begin sooner), of which every other one counts; least share
+#: of a model's weight, an id's share under a model that did not name it, and rate of hit shares.
+RENEW, SHARE, ELSE, RATE = 64, 0.02, 1 / 256, 1 / 8
+#: Bits of a word of the coder, whose range has two words at most.
+WORD = 24
 U, ONE = np.uint32, np.float32(1)
+#: By confidence, and whether the candidate was hit (8): what is added to a slot. A hit raises the confidence, a miss halves it,
+#: and a candidate without any gives way.
+MOVED = np.array([-((c + 1) >> 1) for c in range(SURE)] + [c < SURE - 1 for c in range(SURE)]).astype(U)
+#: The part of a hit share that n more ids leave.
+LEFT = np.cumprod([ONE, *[np.float32(1 - RATE)] * RENEW], dtype=np.float32)
 
 
 class Models:
@@ -55,183 +66,218 @@ class Models:
 
     def __init__(self, lanes: int):
         lane = np.arange(lanes)
-        self.seen1, self.seen2 = np.zeros(lanes * SLOTS1, U), np.zeros(lanes * SLOTS2, U)
+        self.lines = np.zeros(lanes * SLOTS1, np.complex128)  # a context's candidates, moved as one value
         start = np.linspace(0.05, 0.9, SURE, dtype=np.float32)
-        self.hits1, self.hits2 = np.tile(start, lanes), np.tile(start, lanes)
+        self.hits1, self.hits2 = np.tile(start, (lanes, 1)), np.tile(start, (lanes, 1))
         self.w0, self.w1, self.w2 = (np.full(lanes, 1 / 3, np.float32) for _ in range(3))
-        self.last, self.last2 = np.zeros(lanes, U), np.zeros(lanes, U)
         # ids are ranks of merges: small ones are likelier before any is seen
         self.counts = np.tile((8 / (1 + np.arange(256))).astype(np.float32), lanes)
-        self.base1, self.base2, self.base_hits = lane * SLOTS1, lane * SLOTS2, lane * SURE
-        self.steps = 0
+        self.base, self.base_hits, self.base_met, self.base_line = lane * SLOTS1, lane * SURE, lane * (2 * SURE), lane * WAYS
+        self.line, self.at2, self.way = self.base, self.base_line + 1, self.base_line + 1
+        self.met1, self.met2 = np.zeros((RENEW // 2, lanes), np.uint8), np.zeros((RENEW // 2, lanes), np.uint8)
+        self.highs, self.others, self.counted = np.zeros((BLOCK // 2, lanes), np.uint8), np.zeros((BLOCK // 2, lanes), bool), 0
+        self.steps, self.since = 0, 0
+        self.weighed()
         self.count_anew()
 
+    def weighed(self) -> None:
+        """By lane and confidence, the frequencies of 2 ** SCALE that the candidates of order 1 and 2 have."""
+        scale = np.float32((1 << SCALE) - 64)
+        self.parts1, self.parts2 = ((np.floor(p * (w * scale)[:, None]) + np.float32(16)).astype(np.float64).reshape(-1) for p, w in ((self.hits1, self.w1), (self.hits2, self.w2)))
+
+    def renewed(self) -> None:
+        """Weights by Bayes' rule and hit shares, after the ids since the last time."""
+        rows = self.since + 1 >> 1
+        # likelihoods in proportion to the root of ELSE for each id: a power of two, and products stay within the numbers' range
+        other = ELSE**0.5
+        m0, m, self.since = self.w0 * other**rows, [], 0
+        for name, w, met in (("hits1", self.w1, self.met1[:rows]), ("hits2", self.w2, self.met2[:rows])):
+            p = getattr(self, name)
+            likely = np.hstack([(ONE - p) * other, p / other]).astype(np.float64).reshape(-1)
+            at = met + self.base_met
+            m.append(w * np.multiply.reduce(likely.take(at, mode="clip"), axis=0))
+            of = np.bincount(at.reshape(-1), minlength=len(likely)).reshape(-1, 2 * SURE)
+            hit, found = of[:, SURE:], of[:, :SURE] + of[:, SURE:]
+            share = (hit / np.maximum(found, 1)).astype(np.float32)
+            setattr(self, name, share + (p - share) * LEFT.take(found))
+        back = (1 - 3 * SHARE) / (m0 + m[0] + m[1])
+        self.w0, self.w1, self.w2 = ((x * back + SHARE).astype(np.float32) for x in (m0, *m))
+        self.weighed()
+
     def count_anew(self) -> None:
-        """Of 2 ** SCALE0 slots of each lane, which high byte has which: begin, size and slots. Each byte has one at least."""
+        """Of 2 ** SCALE0 slots of each lane, which high byte has which: spans (begin and size, moved as one value). Each byte has one
+        at least."""
+        new = slice(self.counted, self.steps)
+        lane, place = np.nonzero(np.ascontiguousarray(self.others[new].T))  # a lane's places together
+        self.counts += np.bincount((lane << 8) + np.ascontiguousarray(self.highs[new].T)[lane, place], minlength=len(self.counts))
+        self.counted, self.cut = self.steps, None
         c = self.counts.reshape(-1, 256)
         size = (c * (np.float32((1 << SCALE0) - 256) / c.sum(1, keepdims=True))).astype(U) + U(1)
         size[:, 255] += U(1 << SCALE0) - size.sum(1, dtype=U)
         self.size = size.reshape(-1)
-        self.begin = (np.cumsum(size, 1, dtype=U) - size).reshape(-1)
-        self.slots = np.repeat(np.tile(np.arange(256, dtype=np.uint8), len(c)), self.size)
+        spans = np.empty((len(self.size), 2), np.uint16)
+        spans[:, 0], spans[:, 1] = (np.cumsum(size, 1, dtype=U) - size).reshape(-1), self.size
+        self.spans = spans.view(U).reshape(-1)
+
+    def slots(self) -> np.ndarray:
+        """The high byte of each of the slots, lane by lane."""
+        if self.cut is None:
+            self.cut = np.repeat(np.tile(np.arange(256, dtype=np.uint8), len(self.size) >> 8), self.size)
+        return self.cut
 
     def forecast(self) -> None:
         """one, two: the candidates; f1, f2: their frequencies of 2 ** SCALE; what is left is another id's."""
-        mul = U(2654435761)
-        self.at1 = self.base1 + (self.last * mul >> U(33 - SLOTS1.bit_length()))
-        self.at2 = self.base2 + ((self.last2 * U(40503) + self.last) * mul >> U(33 - SLOTS2.bit_length()))
-        self.slot1, self.slot2 = self.seen1.take(self.at1, mode="clip"), self.seen2.take(self.at2, mode="clip")
+        self.slots_of = self.lines.take(self.line, mode="clip").view(U)
+        self.slot1, self.slot2 = self.slots_of[::WAYS].copy(), self.slots_of.take(self.at2, mode="clip")
         self.one, self.two = self.slot1 >> U(3), self.slot2 >> U(3)
-        self.sure1, self.sure2 = self.base_hits + (self.slot1 & U(7)), self.base_hits + (self.slot2 & U(7))
-        self.p1, self.p2 = self.hits1.take(self.sure1, mode="clip"), self.hits2.take(self.sure2, mode="clip")
-        m1, m2 = self.w1 * self.p1, self.w2 * self.p2
-        same = m1 * (self.one == self.two)
-        m2 += same
-        m1 -= same
-        scale = np.float32((1 << SCALE) - 64)
-        self.f1, self.f2 = (m1 * scale).astype(U) + U(16), (m2 * scale).astype(U) + U(16)
+        self.sure1, self.sure2 = (self.slot1 & U(7)).astype(np.uint8), (self.slot2 & U(7)).astype(np.uint8)
+        self.f1 = self.parts1.take(self.base_hits + self.sure1, mode="clip")
+        self.f2 = self.parts2.take(self.base_hits + self.sure2, mode="clip")
+        same = self.f1 - 16
+        same *= self.one == self.two
+        self.f1 -= same
+        self.f2 += same
         self.named = self.f1 + self.f2
 
     def learned(self, ids: np.ndarray) -> None:
-        hit1, hit2 = self.one == ids, self.two == ids
-        rate, other = np.float32(RATE), np.float32(ELSE)
-        m1, m2 = self.w1 * np.where(hit1, self.p1, (ONE - self.p1) * other), self.w2 * np.where(hit2, self.p2, (ONE - self.p2) * other)
-        m0 = self.w0 * other
-        back, share = np.float32(1 - 3 * SHARE) / (m0 + m1 + m2), np.float32(SHARE)
-        self.w0, self.w1, self.w2 = m0 * back + share, m1 * back + share, m2 * back + share
-        self.hits1[self.sure1] = self.p1 + (hit1 - self.p1) * rate
-        self.hits2[self.sure2] = self.p2 + (hit2 - self.p2) * rate
-        fresh = ids << U(3)
-        for seen, at, slot, hit in ((self.seen1, self.at1, self.slot1, hit1), (self.seen2, self.at2, self.slot2, hit2)):
-            sure = slot & U(7)
-            # a hit raises the confidence, a miss halves it, and a candidate without any gives way
-            seen[at] = np.where(hit, slot + (sure < U(7)), np.where(sure > U(0), slot - (sure + U(1) >> U(1)), fresh))
-        self.last2, self.last = self.last, ids
+        fresh, eight, row = ids << U(3), np.uint8(SURE), self.since >> 1
+        for slot, sure, candidate, met, at in ((self.slot1, self.sure1, self.one, self.met1[row], slice(0, None, WAYS)), (self.slot2, self.sure2, self.two, self.met2[row], self.at2)):
+            np.multiply(candidate == ids, eight, out=met)
+            met |= sure
+            slot += MOVED.take(met, mode="clip")
+            self.slots_of[at] = np.where(met == 0, fresh, slot)
+        self.lines[self.line] = self.slots_of.view(np.complex128)
+        mixed = ids * U(2654435761)
+        self.line = self.base + (mixed >> U(33 - SLOTS1.bit_length()))
+        self.at2, self.way = self.way, self.base_line + np.maximum(mixed >> U(16) & U(WAYS - 1), U(1))
         self.steps += 1
-        if self.steps % ANEW == 0 or self.steps in (ANEW // 4, ANEW // 2):
+        self.since += 1
+        seldom = self.steps & (self.steps - 1) == 0
+        if self.since == RENEW or seldom and self.steps < RENEW:
+            self.renewed()
+        if seldom and self.steps >= ANEW:
             self.count_anew()
 
+    def span(self, at: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and size of the high bytes at these places; where no other id comes, all slots."""
+        found = self.spans.take(at, mode="clip").view(np.uint16)
+        return found[::2] * other, np.where(other, found[1::2], np.uint16(1 << SCALE0))
+
+    def came(self, high: np.ndarray, other: np.ndarray) -> None:
+        """Keeps the high bytes of other ids, while they will be counted anew."""
+        if self.steps < BLOCK // 2:
+            self.highs[self.steps], self.others[self.steps] = high, other
+
+
+#: Numbers of the coder are whole and under 2 ** 53, so double precision has them exactly, and their quotients' whole parts.
+LEAST, WHOLE = float(1 << WORD), float(1 << 2 * WORD)
+
 
 class Coder:
-    """Range coders side by side: low has 32 bits and its carry goes into the word before; a word of 16 bits leaves when the
-    range is under 2 ** 16."""
+    """Range coders side by side: low has two words and its carry goes into the word before; a word leaves when the range is
+    under one. An id takes both its steps before that: the range keeps a 128th of a word's size then."""
 
-    def __init__(self, lanes: int):
-        self.low, self.range = np.zeros(lanes, U), np.full(lanes, 0xFFFFFFFF, U)
-        self.words, self.n = np.zeros((lanes, BLOCK + 64), U), np.zeros(lanes, np.int64)
+    #: Words of a block at most: an id costs under 17.3 bits, 7.1 for the candidates and 10.2 for a high byte.
+    MOST = BLOCK * 3 // 4 + 64
 
-    def put(self, start: np.ndarray, size: np.ndarray, bits: int, lanes: np.ndarray | None = None) -> None:
-        """lanes: those that code something; None: all of them."""
-        low, r = (self.low, self.range >> U(bits)) if lanes is None else (self.low.take(lanes), self.range.take(lanes) >> U(bits))
-        new = low + r * start
-        r *= size
-        if (over := np.flatnonzero(new < low)).size:
-            rows = over if lanes is None else lanes[over]
-            self.words[rows, self.n[rows] - 1] += U(1)
-        if (full := np.flatnonzero(r < U(1 << 16))).size:
-            rows = full if lanes is None else lanes[full]
-            n = self.n[rows]
-            if n.max() + 4 > self.words.shape[1]:
-                self.words = np.hstack([self.words, np.zeros_like(self.words)])
-            part = new[full]
-            self.words[rows, n] = part >> U(16)
-            self.n[rows] = n + 1
-            new[full] = part << U(16)
-            r[full] <<= U(16)
-        if lanes is None:
-            self.low, self.range = new, r
-        else:
-            self.low[lanes], self.range[lanes] = new, r
+    def __init__(self, lanes: int):
+        self.low, self.range = np.zeros(lanes), np.full(lanes, WHOLE)
+        # a row for each word and a column for each lane, in one
+        self.words, self.lanes, self.at = np.zeros(self.MOST * lanes, U), lanes, np.arange(lanes)
+
+    def put(self, *steps) -> None:
+        """steps: begin, size and bits of each."""
+        low, r = self.low, self.range
+        for start, size, bits in steps:
+            r *= 1 / (1 << bits)
+            np.floor(r, out=r)
+            low += r * start
+            r *= size
+        if (over := np.flatnonzero(low >= WHOLE)).size:
+            self.words[self.at.take(over) - self.lanes] += U(1)
+            low[over] -= WHOLE
+        if (full := np.flatnonzero(r < LEAST)).size:
+            at, part = self.at.take(full), low.take(full)
+            word = np.floor(part * (1 / LEAST))
+            self.words[at] = word
+            self.at[full] = at + self.lanes
+            low[full] = (part - word * LEAST) * LEAST
+            r[full] = r.take(full) * LEAST
 
     def ended(self) -> list[bytes]:
         """The words of each lane, little-endian, with the carries passed on."""
-        rows = np.arange(len(self.n))
-        for part in (self.low >> U(16), self.low & U(0xFFFF)):
-            self.words[rows, self.n] = part
-            self.n += 1
-        words = np.ascontiguousarray(self.words[:, : int(self.n.max())].T)
+        self.words[self.at] = np.ceil(self.low * (1 / LEAST))  # what lies behind is nought
+        n = self.at // self.lanes + 1
+        words = self.words.reshape(-1, self.lanes)[: int(n.max())]
         for i in range(len(words) - 1, 0, -1):
-            words[i - 1] += words[i] >> U(16)
-        out = np.ascontiguousarray(words.T & U(0xFFFF)).astype("<u2")
-        return [out[i, :n].tobytes() for i, n in enumerate(self.n)]
+            words[i - 1] += words[i] >> U(WORD)
+        out = np.ascontiguousarray(words.T).astype("<u4", copy=False).view(np.uint8).reshape(self.lanes, -1, 4)
+        return [out[i, :k, : WORD // 8].tobytes() for i, k in enumerate(n.tolist())]
 
 
 def coded(ids: np.ndarray) -> list[bytes]:
     """The coded bytes of each row of ids, a matrix of lanes and BLOCK: number of words (4 bytes), words, low bytes."""
     lanes, columns = len(ids), np.ascontiguousarray(ids.T.astype(U))
     m, c = Models(lanes), Coder(lanes)
-    whole, plain = U(1 << SCALE), np.zeros(ids.shape, bool)
-    base = np.arange(lanes) * 256
+    plain, base = np.zeros(columns.shape, bool), np.arange(lanes) << 8
     for t, x in enumerate(columns):
         m.forecast()
-        is2 = m.two == x
-        is1 = (m.one == x) & ~is2
-        start = np.where(is2, U(0), np.where(is1, m.f2, m.named))
-        c.put(start, np.where(is2, m.f2, np.where(is1, m.f1, whole - m.named)), SCALE)
-        other = ~(is2 | is1)
-        if (rest := np.flatnonzero(other)).size:
-            at = base.take(rest) + (x.take(rest) >> U(8))
-            c.put(m.begin.take(at), m.size.take(at), SCALE0, rest)
-            m.counts[at] += ONE
-            plain[:, t] = other
+        is2, is1 = m.two == x, m.one == x
+        other = np.logical_or(is2, is1, out=plain[t])
+        np.logical_not(other, out=other)
+        start, size = np.where(is1, m.f2, m.named), np.where(is2, m.f2, np.where(is1, m.f1, (1 << SCALE) - m.named))
+        start *= ~is2
+        high = x >> U(8)
+        c.put((start, size, SCALE), (*m.span(base + high, other), SCALE0))
+        m.came(high, other)
         m.learned(x)
-    low = (ids & 255).astype(np.uint8)
-    return [np.uint32(len(w) // 2).tobytes() + w + row[p].tobytes() for w, row, p in zip(c.ended(), low, plain)]
-
-
-class Decoder:
-    """Range decoders side by side, each over its block's words, and its block's low bytes."""
-
-    def __init__(self, blocks: list[bytes]):
-        n = [2 * int.from_bytes(b[:4], "little") for b in blocks]
-        size = np.array(n) // 2
-        self.at = np.concatenate([[0], np.cumsum(size + 2)[:-1]])
-        self.words = np.frombuffer(b"".join(b[4 : 4 + k] + b"\0\0\0\0" for b, k in zip(blocks, n)), "<u2").astype(U)
-        self.value = self.words[self.at] << U(16) | self.words[self.at + 1]
-        self.end = self.at + size + 1
-        self.at += 2
-        self.range = np.full(len(blocks), 0xFFFFFFFF, U)
-        size = np.array([len(b) - 4 - k for b, k in zip(blocks, n)])
-        self.low = np.frombuffer(b"".join(b[4 + k :] for b, k in zip(blocks, n)) + b"\0", np.uint8)
-        self.low_at = np.concatenate([[0], np.cumsum(size)[:-1]])
-
-    def take(self, value: np.ndarray, r: np.ndarray, lanes: np.ndarray | None = None) -> None:
-        if (full := np.flatnonzero(r < U(1 << 16))).size:
-            rows = full if lanes is None else lanes[full]
-            at = self.at[rows]
-            value[full] = value[full] << U(16) | self.words[at]
-            r[full] <<= U(16)
-            self.at[rows] = np.minimum(at + 1, self.end[rows])  # a damaged block reads no other's words
-        if lanes is None:
-            self.value, self.range = value, r
-        else:
-            self.value[lanes], self.range[lanes] = value, r
+    low, plain = ids.astype(np.uint8), np.ascontiguousarray(plain.T)
+    return [np.uint32(len(w) // (WORD // 8)).tobytes() + w + row[p].tobytes() for w, row, p in zip(c.ended(), low, plain)]
 
 
 def decoded(blocks: list[bytes]) -> np.ndarray:
     """The ids, a row of BLOCK for each block."""
-    m, d = Models(len(blocks)), Decoder(blocks)
-    out = np.empty((BLOCK, len(blocks)), U)
-    whole, most = U(1 << SCALE), U((1 << SCALE0) - 1)
-    lane = np.arange(len(blocks))
-    for t in range(BLOCK):
+    size, lanes = WORD // 8, len(blocks)
+    n = np.array([int.from_bytes(b[:4], "little") for b in blocks])
+    words = np.frombuffer(b"".join(b[4 : 4 + size * k] + bytes(2 * size) for b, k in zip(blocks, n.tolist())), np.uint8).reshape(-1, size)
+    words = sum(words[:, i].astype(np.float64) * (1 << 8 * i) for i in range(size))
+    at = np.cumsum(n + 2) - (n + 2)
+    last, value = at + n + 1, words[at] * LEAST + words[at + 1]
+    at += 2
+    lows = np.frombuffer(b"".join(b[4 + size * k :] for b, k in zip(blocks, n.tolist())) + b"\0", np.uint8)
+    n = np.array([len(b) - 4 - size * k for b, k in zip(blocks, n.tolist())])
+    low_at = np.cumsum(n) - n
+
+    m, out, r = Models(lanes), np.empty((BLOCK, lanes), U), np.full(lanes, WHOLE)
+    most, base, base_slots = (1 << SCALE0) - 1, np.arange(lanes) << 8, np.arange(lanes) << SCALE0
+    for t, x in enumerate(out):
         m.forecast()
-        r = d.range >> U(SCALE)
+        r *= 1 / (1 << SCALE)
+        np.floor(r, out=r)
         to2, to1 = r * m.f2, r * m.named
-        is2, other = d.value < to2, d.value >= to1
-        x = np.where(is2, m.two, m.one)
-        d.take(d.value - np.where(is2, U(0), np.where(other, to1, to2)), r * np.where(is2, m.f2, np.where(other, whole - m.named, m.f1)))
-        if (rest := np.flatnonzero(other)).size:
-            value, r, own = d.value.take(rest), d.range.take(rest) >> U(SCALE0), lane.take(rest)
-            high = m.slots.take((own << SCALE0) + np.minimum(value // r, most))
-            at = (own << 8) + high
-            d.take(value - r * m.begin.take(at), r * m.size.take(at), rest)
-            m.counts[at] += ONE
-            low_at = d.low_at.take(rest)
-            x[rest] = high.astype(U) << U(8) | d.low.take(low_at, mode="clip")
-            d.low_at[rest] = low_at + 1
+        is2, other = value < to2, value >= to1
+        start, size = np.where(other, to1, to2), np.where(is2, m.f2, np.where(other, (1 << SCALE) - m.named, m.f1))
+        start *= ~is2
+        value -= start
+        r *= size
+        r *= 1 / (1 << SCALE0)
+        np.floor(r, out=r)
+        high = m.slots().take(base_slots + np.minimum(value / r, most).astype(np.int64), mode="clip")
+        start, size = m.span(base + high, other)
+        value -= r * start
+        r *= size
+        np.copyto(x, high)
+        x <<= U(8)
+        x |= lows.take(low_at, mode="clip")
+        low_at += other
+        m.came(high, other)
+        x[:] = np.where(is2, m.two, np.where(other, x, m.one))
+        if (full := np.flatnonzero(r < LEAST)).size:
+            of = at.take(full)
+            value[full] = value.take(full) * LEAST + words.take(of, mode="clip")
+            r[full] = r.take(full) * LEAST
+            at[full] = np.minimum(of + 1, last.take(full))  # a damaged block reads no other's words
         m.learned(x)
-        out[t] = x
     return np.ascontiguousarray(out.T)
 
 
@@ -262,17 +308,104 @@ def crc_shift(crc: np.ndarray, n: np.ndarray) -> np.ndarray:
     return crc
 
 
-#: Texts of ASCII and the Latin-1 letters beyond it: these have one form, their lower case is a letter for a letter, and this is
-#: how the vocabulary's pattern cuts them (fixed values: its contractions).
+#: Texts of ASCII and the Latin-1 letters beyond it: these have one form, and their lower case is a letter for a letter.
 SIMPLE = r"^[\x00-\x7fÀ-ÖØ-öø-ÿ]*$"
-PART = r"('(?:[smdt]|re|ve|ll)|[a-zà-öø-ÿß]+|[0-9]|[\x00-\x08\x0e-\x1f!-/:-@\[-`{-\x7f]+)"
+#: How the vocabulary's pattern sees a byte of such a text in lower case.
+WHITE, LETTER, DIGIT, SIGN = range(4)
+BLANKS = b"\t\n\v\f\r "
+KINDS = bytes(WHITE if b in BLANKS else LETTER if 97 <= b <= 122 or b >= 128 else DIGIT if 48 <= b <= 57 else SIGN for b in range(256))
+#: The letters that the vocabulary's contractions have behind the apostrophe.
+SHORT1, SHORT2 = np.isin(np.arange(256), list(b"smdt")), [int.from_bytes(x, "big") for x in (b"re", b"ve", b"ll")]
+
+
+def byte_letters() -> np.ndarray:
+    """The character that stands for each byte in vocabularies of bytes; the blank is left, for it never is within a part."""
+    out, n = np.arange(256, dtype="<u4"), 0
+    for b in range(256):
+        if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174):
+            out[b] = b if b == 32 else 256 + n
+            n += 1
+    return out
+
+
+LETTERS = byte_letters()
+
+
+def parts_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The parts that the vocabulary's pattern cuts of simple texts in lower case, one after the other, and how many each text has."""
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    plain = bytes(memoryview(texts.buffers()[2] or b"")[ends[0] : ends[-1]])
+    ends -= ends[0]
+    data, kind = np.frombuffer(plain, np.uint8), np.frombuffer(plain.translate(KINDS), np.uint8)
+    begins = np.ones(len(data), bool)
+    np.not_equal(kind[1:], kind[:-1], out=begins[1:])
+    begins |= kind == DIGIT
+    begins[ends[:-1][ends[:-1] < len(data)]] = True
+    begins &= kind != WHITE
+    mark = np.flatnonzero((data == ord("'")) & begins)
+    if mark.size:
+        end = ends[np.searchsorted(ends, mark, "right")]
+        after = np.concatenate([data, np.zeros(2, np.uint8)]).astype(np.int64)
+        one, two = after[mark + 1], after[mark + 1] << 8 | after[mark + 2]
+        size = np.where(SHORT1[one] & (mark + 1 < end), 2, np.where(np.isin(two, SHORT2) & (mark + 2 < end), 3, 0))
+        mark, end, size = mark[size > 0], end[size > 0], size[size > 0]
+        begins[mark + 1] = False
+        mark += size
+        begins[mark[(mark < end) & (kind.take(mark, mode="clip") != WHITE)]] = True
+    first, solid = np.flatnonzero(begins), plain.translate(None, BLANKS)
+    before = (kind != WHITE).astype(np.int32)
+    offsets = np.append(np.cumsum(before, dtype=np.int32, out=before).take(first) - np.int32(1), np.int32(len(solid)))
+    flat = pa.StringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(solid))
+    return flat, np.diff(np.searchsorted(first, ends))
+
+
+class Memory:
+    """The ids of strings seen before: each has a number, and the ids of number k are ids[begin[k] : begin[k + 1]]."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.begin, self.ids = np.zeros(1, np.int64), np.empty(0, "<u4")
+
+    def numbers(self, names: list[str], encode) -> np.ndarray:
+        """encode: the ids of a list of strings, one after the other, and how many each has. A string is encoded once."""
+        found = np.fromiter(map(self.number.get, names, repeat(-1)), np.int64, len(names))
+        fresh = np.flatnonzero(found < 0)
+        if len(self.number) + len(fresh) > CHUNKS and self.number:
+            self.__init__()
+            return self.numbers(names, encode)
+        if fresh.size:
+            new = [names[i] for i in fresh.tolist()]
+            ids, sizes = encode(new)
+            n = len(self.number)
+            self.number.update(zip(new, range(n, n + len(new))))
+            found[fresh] = np.arange(n, n + len(new))
+            self.ids = np.concatenate([self.ids, ids])
+            self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(sizes)])
+        return found
+
+    def looked_up(self, flat: pa.Array, counts: np.ndarray, encode) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all strings, none with a blank, one after the other; counts: strings of each text; how many ids each text has."""
+        flat = flat.dictionary_encode()
+        words = flat.dictionary
+        names = pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), " ")[0].as_py().split(" ") if len(words) else []
+        own = self.numbers(names, encode)[flat.indices.to_numpy()]
+        starts = self.begin[own]
+        n = self.begin[own + 1] - starts
+        ends = np.cumsum(n)
+        place = np.repeat(starts - (ends - n), n)
+        place += np.arange(len(place))
+        total = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+        return self.ids[place], np.diff(total)
+
+
 _encoders: dict = {}
 
 
 class Encoder:
     """The tokenizer with a memory of parts of texts. Simple texts are cut into the pattern's parts, in lower case, which skip
-    the tokenizer's normaliser and pattern; any other text, or one that may hold a special token's name, is cut at blanks, and
-    the chunks are left to the tokenizer as a whole."""
+    the tokenizer's normaliser and pattern: new ones are encoded together, in the vocabulary's letters for bytes and with blanks
+    between them, and each ends with the one id of its end. Any other text, or one that may hold a special token's name, is cut
+    at blanks, and the chunks are left to the tokenizer as a whole."""
 
     def __init__(self, vocabulary: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
@@ -284,40 +417,34 @@ class Encoder:
             vocabulary = public_tokenizers.path(vocabulary)
         self.tokenizer, self.bare = Tokenizer.from_file(vocabulary), Tokenizer.from_file(vocabulary)
         self.bare.normalizer = normalizers.Sequence([])
-        self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.parts: dict[str, bytes] = {"": b""}
-        self.chunks: dict[str, bytes] = {"": b""}
-
-    @staticmethod
-    def looked_up(lists: pa.ListArray, memory: dict[str, bytes], tokenizer) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all lists of strings, one after the other, and how many each list has. A string is encoded once."""
-        flat = lists.flatten().dictionary_encode()
-        names = flat.dictionary.to_pylist()
-        if len(memory) + len(names) > CHUNKS:
-            memory.clear()
-            memory[""] = b""
-        new = [c for c in names if c not in memory]
-        for c, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            memory[c] = array("I", e.ids).tobytes()
-        own = [memory[c] for c in names]
-        sizes = np.fromiter(map(len, own), np.int64, len(own)) >> 2
-        starts = np.cumsum(sizes) - sizes
-        at = flat.indices.to_numpy()
-        n = sizes[at]
-        ends = np.cumsum(n)
-        place = np.repeat(starts[at] - (ends - n), n)
-        place += np.arange(len(place))
-        total = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])]
-        return np.frombuffer(b"".join(own), "<u4")[place], np.diff(total)
+        self.bare.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        tokens = self.bare.get_vocab(with_added_tokens=False)
+        self.final = np.zeros(max(tokens.values()) + 1, bool)  # ids that end a part
+        self.final[[i for t, i in tokens.items() if t.endswith(self.bare.model.end_of_word_suffix)]] = True
+        self.parts, self.chunks = Memory(), Memory()
+
+    def of_parts(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        joined = "\n".join(" ".join(new[k : k + TOGETHER]) for k in range(0, len(new), TOGETHER))
+        letters = LETTERS.take(np.frombuffer(joined.encode(), np.uint8)).tobytes().decode("utf-32-le")
+        found = self.bare.encode_batch_fast(letters.split(chr(LETTERS[10])), add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, "<u4") for e in found])
+        last = np.flatnonzero(self.final[ids])
+        if len(last) != len(new):
+            raise ValueError("the vocabulary does not mark the ends of parts")
+        return ids, np.diff(last, prepend=-1)
+
+    def of_chunks(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        return np.array([i for x in ids for i in x], "<u4"), np.array(list(map(len, ids)))
 
     def encoded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, and how many each has."""
         simple = pc.and_(pc.match_substring_regex(texts, SIMPLE), pc.invert(pc.match_substring(texts, "<|")))
-        cut = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(texts.filter(simple)), PART, r"\1 "))
-        some, some_n = self.looked_up(cut, self.parts, self.bare)
-        rest, rest_n = self.looked_up(pc.ascii_split_whitespace(texts.filter(pc.invert(simple))), self.chunks, self.tokenizer)
-        if not len(rest_n):
+        some, some_n = self.parts.looked_up(*parts_of(pc.utf8_lower(texts.filter(simple))), self.of_parts)
+        cut = pc.ascii_split_whitespace(texts.filter(pc.invert(simple)))
+        if not len(cut):
             return some, some_n
+        rest, rest_n = self.chunks.looked_up(cut.flatten(), pc.list_value_length(cut).to_numpy(), self.of_chunks)
         mask, sizes = simple.to_numpy(zero_copy_only=False), np.empty(len(texts), np.int64)
         sizes[mask], sizes[~mask] = some_n, rest_n
         of_simple = np.repeat(mask, sizes)

@@ -203,6 +203,50 @@ def test_texts_in_parts_have_the_ids_of_whole_texts():
         assert ids[a:z].tolist() == want.ids, repr(text)
 
 
+def test_new_parts_are_encoded_together():
+    """An encoding for each new part took a third of the query's time."""
+    import pyarrow as pa
+
+    class Counted:
+        def __init__(self, tokenizer):
+            self.tokenizer, self.n = tokenizer, 0
+
+        def __getattr__(self, name):
+            return getattr(self.tokenizer, name)
+
+        def encode_batch_fast(self, texts, **options):
+            self.n += len(texts)
+            return self.tokenizer.encode_batch_fast(texts, **options)
+
+    rng = random.Random(7)
+    texts = [" ".join("".join(rng.choice("abcdeéß'!7") for _ in range(rng.randint(1, 12))) for _ in range(400)) for _ in range(20)]
+    e = tokenfile.Encoder(tokenfile.VOCABULARY)
+    e.bare = Counted(e.bare)
+    for part in (texts[:10], texts):  # the first half again
+        ids, sizes = e.encoded(pa.array(["none"] + part).slice(1))
+        assert np.split(ids, np.cumsum(sizes)[:-1])[-1].tolist() == e.tokenizer.encode(part[-1], add_special_tokens=False).ids
+        assert sizes.tolist() == [len(x.ids) for x in e.tokenizer.encode_batch(part, add_special_tokens=False)]
+    assert 0 < e.bare.n < 400
+
+
+def test_dearest_ids_fit():
+    """Ids that the models hold least likely at each step, beside others."""
+    m, row = tokenfile.Models(1), []
+    for _ in range(tokenfile.BLOCK):
+        m.forecast()
+        high = int(m.size.argmin())
+        x = next(i for i in range(high << 8, (high << 8) + 3) if i not in (m.one[0], m.two[0]))
+        if len(row) in range(300, 900):  # first the models grow sure
+            x = 7
+        row.append(x)
+        m.came(np.array([x >> 8]), np.array([x not in (m.one[0], m.two[0])]))
+        m.learned(np.array([x], np.uint32))
+    grid = np.array([row, [7] * tokenfile.BLOCK, row[::-1]], np.uint32)
+    data = tokenfile.coded(grid)
+    assert (tokenfile.decoded(data) == grid).all()
+    assert len(data[1]) < 40 < len(data[0]) < 4 + 3 * tokenfile.Coder.MOST + tokenfile.BLOCK
+
+
 def test_few_blocks_at_a_time(spark, monkeypatch):
     """Rows of a shard come out whole whatever the number of blocks coded together."""
     import pyarrow as pa
