@@ -313,6 +313,8 @@ SIMPLE = r"^[\x00-\x7fÀ-ÖØ-öø-ÿ]*$"
 #: How the vocabulary's pattern sees a byte of such a text in lower case.
 WHITE, LETTER, DIGIT, SIGN = range(4)
 BLANKS = b"\t\n\v\f\r "
+#: Lower case of such a text's bytes: the second byte of a letter beyond ASCII tells its case.
+LOWER = bytes(b + 32 if 65 <= b <= 90 or 0x80 <= b <= 0x9E else b for b in range(256))
 KINDS = bytes(WHITE if b in BLANKS else LETTER if 97 <= b <= 122 or b >= 128 else DIGIT if 48 <= b <= 57 else SIGN for b in range(256))
 #: The letters that the vocabulary's contractions have behind the apostrophe.
 SHORT1, SHORT2 = np.isin(np.arange(256), list(b"smdt")), [int.from_bytes(x, "big") for x in (b"re", b"ve", b"ll")]
@@ -332,9 +334,9 @@ LETTERS = byte_letters()
 
 
 def parts_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """The parts that the vocabulary's pattern cuts of simple texts in lower case, one after the other, and how many each text has."""
+    """The parts that the vocabulary's pattern cuts of simple texts, in lower case and one after the other, and how many each text has."""
     ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
-    plain = bytes(memoryview(texts.buffers()[2] or b"")[ends[0] : ends[-1]])
+    plain = bytes(memoryview(texts.buffers()[2] or b"")[ends[0] : ends[-1]]).translate(LOWER)
     ends -= ends[0]
     data, kind = np.frombuffer(plain, np.uint8), np.frombuffer(plain.translate(KINDS), np.uint8)
     begins = np.ones(len(data), bool)
@@ -389,13 +391,13 @@ class Memory:
         words = flat.dictionary
         names = pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), " ")[0].as_py().split(" ") if len(words) else []
         own = self.numbers(names, encode)[flat.indices.to_numpy()]
-        starts = self.begin[own]
-        n = self.begin[own + 1] - starts
+        starts = self.begin.take(own, mode="clip")
+        n = self.begin.take(own + 1, mode="clip") - starts
         ends = np.cumsum(n)
         place = np.repeat(starts - (ends - n), n)
         place += np.arange(len(place))
         total = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
-        return self.ids[place], np.diff(total)
+        return self.ids.take(place, mode="clip"), np.diff(total)
 
 
 _encoders: dict = {}
@@ -440,7 +442,7 @@ class Encoder:
     def encoded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, and how many each has."""
         simple = pc.and_(pc.match_substring_regex(texts, SIMPLE), pc.invert(pc.match_substring(texts, "<|")))
-        some, some_n = self.parts.looked_up(*parts_of(pc.utf8_lower(texts.filter(simple))), self.of_parts)
+        some, some_n = self.parts.looked_up(*parts_of(texts.filter(simple)), self.of_parts)
         cut = pc.ascii_split_whitespace(texts.filter(pc.invert(simple)))
         if not len(cut):
             return some, some_n
@@ -533,20 +535,20 @@ def pieces_of(batches):
     """A row for each document and block that it has ids in; crc: that of the piece, shifted by what follows in the document."""
     for b in batches:
         for lo in range(0, b.num_rows, LANES):
-            part = b.slice(lo, LANES).to_pydict()
-            ids = decoded(part["coded"])
-            out, behind = [], []
-            for row, shard, first, n, crc, docs in zip(ids, part["shard"], part["first"], part["n"], part["crc32"], part["docs"]):
-                data = row[:n].astype("<u4").tobytes()
-                if zlib.crc32(data) != crc:
-                    raise ValueError(f"shard {shard}: the block of ids from {first} does not have the checksum stated")
-                for d in docs:
-                    a, z = max(d["start"] - first, 0), min(d["start"] + d["n"] - first, n)
-                    out.append((shard, d["start"], d["doc_id"], d["n"], z - a, zlib.crc32(data[4 * a : 4 * z])))
-                    behind.append(4 * (d["start"] + d["n"] - first - z))
-            cols = list(zip(*out)) or [()] * 6
-            crcs = crc_shift(np.array(cols[5], np.int64), np.array(behind, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*cols[:5], crcs.astype(np.int64)], PIECE_TYPE.types)], schema=PIECE_TYPE)
+            part = b.slice(lo, LANES)
+            n, first, shard = (part[c].to_numpy() for c in ("n", "first", "shard"))
+            data = decoded(part["coded"].to_pylist()).astype("<u4", copy=False)
+            for k, crc in enumerate(part["crc32"].to_pylist()):
+                if zlib.crc32(data[k, : n[k]]) != crc:
+                    raise ValueError(f"shard {shard[k]}: the block of ids from {first[k]} does not have the checksum stated")
+            docs = part["docs"].flatten()
+            names, start, size = (docs.field(c) for c in ("doc_id", "start", "n"))
+            start, size = start.to_numpy(), size.to_numpy()
+            row = np.repeat(np.arange(len(part)), pc.list_value_length(part["docs"]).to_numpy())
+            a, z = np.maximum(start - first[row], 0), np.minimum(start + size - first[row], n[row])
+            crcs = np.fromiter((zlib.crc32(data[k, i:j]) for k, i, j in zip(row.tolist(), a.tolist(), z.tolist())), np.int64, len(row))
+            crcs = crc_shift(crcs, 4 * (start + size - first[row] - z)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(shard[row]), pa.array(start), names, pa.array(size), pa.array(z - a), pa.array(crcs)], schema=PIECE_TYPE)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
