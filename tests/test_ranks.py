@@ -142,3 +142,18 @@ def test_terms_are_counted_in_their_text(spark):
     counts = novelty.term_counts(df, "id", "t")
     assert sorted(tuple(r) for r in counts.collect()) == [(1, 6, "alpha", 2), (1, 6, "beta", 3), (1, 6, "gamma", 1), (4, 1, "zeta", 1)]
     assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
+
+
+def test_change_sees_the_end_of_long_texts(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__
+
+    tails = ["alpha beta", "alpha beta", "gamma delta", "gamma delta"]
+    docs = [(i, "s", "the " * 5_000 + tails[i % 4]) for i in range(40)]  # 20,000 characters of a stopword before the words
+    spark.createDataFrame(docs, "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = {(i, i - 1, float(tails[i % 4] != tails[(i - 1) % 4])) for i in range(1, 40)}
+    assert {(r.doc_id, r.prev, r.change) for r in __spark_entry__.queries()["novelty_change"](spark, str(tmp_path)).collect()} == want
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert set(con.execute(__spark_entry__.oracle_sql()["novelty_change"]).fetchall()) == want
