@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import re
 import statistics
 
 from pyspark.sql import functions as F
@@ -157,3 +158,18 @@ def test_change_sees_the_end_of_long_texts(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     assert set(con.execute(__spark_entry__.oracle_sql()["novelty_change"]).fetchall()) == want
+
+
+def test_terms_of_many_batches(spark):
+    from tallyfold.operators import novelty
+
+    rng = random.Random(7)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = [" ".join("".join(rng.choices(letters, k=4)) for _ in range(30_000)) for _ in range(9)] + ["Ünder THE \u212aelvin kelvin--ab a1b2 xyz9xyz", None, "", "the and"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string").coalesce(1)  # one task hands over several batches
+    found = [re.findall("[a-z]{3,}", (t or "").lower()) for t in texts]
+    want = {i: collections.Counter(w for w in f if w not in novelty.STOPWORDS) for i, f in enumerate(found)}
+    got = {r.id: (r.n, dict(zip(r.words.split(" "), r.counts))) for r in novelty.bags(df, "id", "t").collect()}
+    assert got == {i: (c.total(), dict(c)) for i, c in want.items() if c}
+    assert sum(map(len, want.values())) > novelty.TOKENS_A_BATCH
+    assert {r.id: r.words for r in novelty.bags(df.where("id = 9"), "id", "t", 13).collect()} == {9: "nder kel"}
